@@ -4,22 +4,123 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from starloom.llm.exact_dedup import exact_duplicates
+from starloom.llm.html_text import extract_main_text
+from starloom.llm.language import identify_languages
+from starloom.llm.mixing import mix_documents
 from starloom.llm.near_dedup import near_duplicates
+from starloom.llm.nearest import nearest
+from starloom.llm.packing import pack_documents
+from starloom.llm.substring_dedup import remove_repeated_substrings
+from starloom.llm.suffix_dedup import repeated_passages
+from starloom.llm.url_filter import filter_urls, rule_table
+
+#: Rules of the url query: verdict, host and beginning of the path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, rule_table(spark, URL_RULES)).drop("url")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=1024)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_substrings(_table(spark, sf_dir, "documents"), window=13)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), length=5, percent=85)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"), words=50)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    every = (op1_nearest_neighbours, op2_url_filter, op3_best_fit_packing, op4_substring_dedup, op5_minhash_near_dedup, op6_exact_dedup, op7_suffix_dedup, op8_html_extraction, op9_language_id, op10_source_mixing)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in URL_RULES)
+    return {
+        "op1_nearest_neighbours": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings WHERE embedding IS NOT NULL),
+            s AS (SELECT q.vec_id query_id, v.vec_id, list_inner_product(q.e, v.e) score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
+            SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20""",
+        "op2_url_filter": f"""
+            WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+            r AS (SELECT v, rule, split_part(rule, '/', 1) h, substr(rule, instr(rule, '/')) b FROM (VALUES {rules}) t(v, rule)),
+            f AS (SELECT page_id, host, path, rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, rule DESC) AS n
+                FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b))
+            SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE n = 1""",
+        "op6_exact_dedup": r"""
+            WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ 	-
+]+', ' ', 'g')) AS text_sha256 FROM documents),
+            g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+            SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
+        "op4_substring_dedup": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+            s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+            h AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 12], ' ')) AS k FROM s),
+            m AS (SELECT k, min(doc_id) AS first FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)),
+            x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM h JOIN m USING (k) WHERE doc_id > first),
+            gone AS (SELECT doc_id, list(i) AS places FROM x GROUP BY doc_id),
+            o AS (SELECT doc_id, w, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (doc_id)),
+            y AS (SELECT doc_id, len(w) AS n, len(places) AS r, w, list_transform(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)) AS keep FROM o)
+            SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(list_where(w, keep), ' ')) AS kept_sha256 FROM y""",
+        "op10_source_mixing": r"""
+            WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size,
+                (CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+            s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+            k AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, source_size * 3 AS cap FROM s),
+            f AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS open FROM k
+                WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            l AS (SELECT rest, open FROM f WHERE rest * w <= cap * open ORDER BY cap / w, source NULLS LAST LIMIT 1),
+            t AS (SELECT source, source_size, least(cap::DOUBLE, l.rest::DOUBLE * w / l.open) AS target FROM f, l),
+            e AS (SELECT doc_id, size, source_size, target, u, d.source, least(3.0, CASE WHEN source_size > 0 THEN target * 1.0 / source_size ELSE 0 END) AS copies
+                FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+            p AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS chance FROM e),
+            q AS (SELECT *, u / (1 - u) / (chance / (1 - chance)) AS odds FROM p),
+            c AS (SELECT *, target - sum(size * whole) OVER (PARTITION BY source) AS room,
+                CASE WHEN chance > 0 THEN sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS UNBOUNDED PRECEDING) END AS upto FROM q)
+            SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN chance > 0 AND upto - size / 2.0 <= room THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
+    }
