@@ -2,9 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from starloom.llm.exact_dedup import drop_exact_duplicates
+from starloom.llm.language import keep_identified
+from starloom.llm.mixing import mixed_corpus
+from starloom.llm.near_dedup import drop_near_duplicates
+from starloom.llm.packing import pack_documents
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without letters, or in no learned language, go."""
+    return keep_identified(docs, least=0.25)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, length=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mixture takes them."""
+    return mixed_corpus(docs, weights=(1, 2, 3), most=3)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: one row per piece of a document."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+
+
+STAGES = [("language", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+
+#: Near duplicates by components and best-fit packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
