@@ -82,31 +82,35 @@ def fit(rows: list[tuple[str, str]], bits: int = 20, least: int = 2, share: floa
 
 def _predict(filters: LanguageFilters):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    bits = int(np.log2(len(filters.masks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 2 << 20):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            h, at = grams([x.encode() for x in texts])
-            n = np.diff(at)
-            first, second = _slots(h, bits)
-            hits = filters.masks[first] & filters.masks[second]
-            full = np.flatnonzero(n > 0)
-            rates = np.zeros((len(filters.languages), len(texts)))
-            for i in range(len(filters.languages)):
-                if len(full):
-                    own = (hits[:, i // 64] >> hits.dtype.type(i % 64)) & hits.dtype.type(1)
-                    rates[i, full] = np.add.reduceat(own, at[full], dtype=np.int64) / n[full]
-            rates = np.clip((rates - filters.false[:, None]) / (1 - np.minimum(filters.false[:, None], 0.999)), 0, 1)
-            best = rates.argmax(axis=0) if len(filters.languages) else np.zeros(len(texts), int)
-            named = [bool(filters.languages) and bool(_LETTER.search(x) or any(map(str.isalpha, x))) for x in texts]
-            langs = [filters.languages[b] if ok else "und" for b, ok in zip(best, named, strict=True)]
-            scores = [float(rates[b, i]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, named, strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs), pa.array(scores)], schema=schema)
+            langs, scores = _rates(filters, [x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     return run
 
 
+def _rates(filters: LanguageFilters, texts: list[str]) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    bits = int(np.log2(len(filters.masks)))
+    h, at = grams([x.encode() for x in texts])
+    n = np.diff(at)
+    first, second = _slots(h, bits)
+    hits = filters.masks[first] & filters.masks[second]
+    full = np.flatnonzero(n > 0)
+    rates = np.zeros((len(filters.languages), len(texts)))
+    for i in range(len(filters.languages)):
+        if len(full):
+            own = (hits[:, i // 64] >> hits.dtype.type(i % 64)) & hits.dtype.type(1)
+            rates[i, full] = np.add.reduceat(own, at[full], dtype=np.int64) / n[full]
+    rates = np.clip((rates - filters.false[:, None]) / (1 - np.minimum(filters.false[:, None], 0.999)), 0, 1)
+    best = rates.argmax(axis=0) if len(filters.languages) else np.zeros(len(texts), int)
+    named = [bool(filters.languages) and bool(_LETTER.search(x) or any(map(str.isalpha, x))) for x in texts]
+    langs = [filters.languages[b] if ok else "und" for b, ok in zip(best, named, strict=True)]
+    return langs, [float(rates[b, i]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, named, strict=True))]
+
+
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> list[tuple[str, str]]:
     """At most ``rows`` labelled texts a language, of at most ``chars`` characters each, chosen by a hash of the id.
 
@@ -138,3 +142,23 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(filters), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.25, sample_rows: int = 500, sample_chars: int = 1 << 16) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or has a score below ``least``; whole rows, all columns.
+
+    Where no labelled row exists nothing can be learned, and all rows with a letter would be ``und``:
+    they go. Nulls and repeated rows as in identify_languages().
+    """
+    filters = fit(training_sample(docs, id_col, text_col, lang_col, sample_rows, sample_chars))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
+            for part in text_slices(iter([named]), f"c{place}", 2 << 20):
+                langs, scores = _rates(filters, [x or "" for x in part.column(place).to_pylist()])
+                kept = part.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
