@@ -8,8 +8,9 @@ alone, and neighbouring minimisers overlap or touch (phrase >= window - phrase +
 2. each minimiser that has an earlier equal one is matched with it (the *reference*);
 3. along a text, matches that touch and keep one distance to one reference text join to factors,
    which are equal word for word; windows within a factor are repeats;
-4. windows that hold a matched minimiser and cross a factor's boundary are hashed in full (128
-   bits) in every text that has that minimiser, and compared with all of them.
+4. windows that cross a factor's boundary and whose own minimiser is matched are hashed in full (128
+   bits), and so are the windows around that minimiser where it has no earlier equal one; equal
+   windows are then grouped.
 
 "Earlier" is a smaller document id, or with ``inside`` also an earlier place in the same text.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm._shared import materialize, small, text_slices
@@ -63,22 +64,44 @@ def _minimiser_rows(window: int, phrase: int, inside: bool):
     return run
 
 
+def _step(window: int, phrase: int) -> int:
+    """Shift that fits a window's possible places of its phrase into 31 bits."""
+    step = 0
+    while (window - phrase) >> step > 30:
+        step += 1
+    return step
+
+
 def _factors(window: int, phrase: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("span", pa.int64()), ("key", pa.int64())])
-    reach = window - phrase
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("span", pa.int64()), ("key", pa.int64()), ("mask", pa.int64())])
+    back, step = np.arange(window - phrase + 1), _step(window, phrase)
 
     def emit(ids, locs, refs, ref_locs, keys):
         tags, at = locs >> 32, locs & _LOW
-        step = (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1]) & (refs[1:] == refs[:-1]) & (locs[1:] - locs[:-1] <= phrase) & (locs[1:] - locs[:-1] == ref_locs[1:] - ref_locs[:-1])
-        begin = np.flatnonzero(np.concatenate([[True], ~step]))
+        same = (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1])
+        joint = same & (refs[1:] == refs[:-1]) & (locs[1:] - locs[:-1] <= phrase) & (locs[1:] - locs[:-1] == ref_locs[1:] - ref_locs[:-1])
+        begin = np.flatnonzero(np.concatenate([[True], ~joint]))
         end = np.concatenate([begin[1:], [len(ids)]]) - 1
         lo, hi = at[begin], at[end] + phrase
         long = hi - lo >= window
+        none = pa.nulls(int(long.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[begin][long]), pa.array(tags[begin][long]), pa.array((lo << 32 | (hi - lo))[long]), none, none], schema=schema)
         factor = np.repeat(np.arange(len(begin)), end - begin + 1)
-        edge = ~long[factor] | (at - reach < lo[factor]) | (at > hi[factor] - window)
-        spans = pa.RecordBatch.from_arrays([pa.array(ids[begin][long]), pa.array(tags[begin][long]), pa.array((lo << 32 | (hi - lo))[long]), pa.nulls(int(long.sum()), pa.int64())], schema=schema)
-        edges = pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(tags[edge]), pa.array(at[edge]), pa.array(keys[edge])], schema=schema)
-        return spans, edges
+        text = np.concatenate([[0], np.cumsum(~same)])
+        for first in range(0, len(ids), 1 << 14):
+            part = slice(first, first + (1 << 14))
+            # Windows in no factor that hold the phrase; of several phrases the least is the window's own minimiser.
+            starts = at[part, None] - back
+            inner = long[factor[part], None] & (starts >= lo[factor[part], None]) & (starts <= hi[factor[part], None] - window)
+            i, o = np.nonzero((starts >= 0) & ~inner)
+            starts, i = starts[i, o], i + first
+            order = np.lexsort((keys.view(np.uint64)[i], starts, text[i]))
+            i, o, starts = i[order], o[order], starts[order]
+            own = np.concatenate([[True], (starts[1:] != starts[:-1]) | (text[i[1:]] != text[i[:-1]])]) if len(i) else np.zeros(0, bool)
+            masks = np.zeros(len(ids), np.int64)
+            np.bitwise_or.at(masks, i[own], np.int64(1) << (o[own] >> step))
+            open_ = np.flatnonzero(masks)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[open_]), pa.array(tags[open_]), pa.array(at[open_]), pa.array(keys[open_]), pa.array(masks[open_])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -100,18 +123,22 @@ def _factors(window: int, phrase: int):
 
 def _edge_windows(window: int, phrase: int):
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("loc", pa.int64())])
-    reach = window - phrase
+    back, step = np.arange(window - phrase + 1), _step(window, phrase)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             words = split_words(batch.column("text"))
             lists = batch.column("places")
-            at = np.repeat(words.offsets[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
-            marks = np.zeros(len(words.hashes) + 1, np.int32)
+            places = lists.flatten().to_numpy()
+            base = np.repeat(words.offsets[:-1], lists.value_lengths().to_numpy())
+            wanted = np.zeros(len(words.hashes), bool)
+            for first in range(0, len(places), 1 << 16):
+                part = places[first : first + (1 << 16)]
+                starts = (part & _LOW)[:, None] - back
+                rows, columns = np.nonzero(((part >> 32)[:, None] >> (back >> step) & 1).astype(bool) & (starts >= 0))
+                wanted[base[first : first + (1 << 16)][rows] + starts[rows, columns]] = True
+            chosen = np.flatnonzero(wanted & starts_of_windows(words.offsets, window))
             text, place = _places(words)
-            np.add.at(marks, np.maximum(at - reach, words.offsets[text[at]]), 1)
-            np.add.at(marks, at + 1, -1)
-            chosen = np.flatnonzero((np.cumsum(marks)[:-1] > 0) & starts_of_windows(words.offsets, window))
             pair = [phrases(words.hashes, window, seed)[chosen].view(np.int64) for seed in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
             locs = (batch.column("tag").to_numpy()[text[chosen]] << 32) | place[chosen]
             yield pa.RecordBatch.from_arrays([*map(pa.array, pair), pa.array(batch.column("doc_id").to_numpy()[text[chosen]]), pa.array(locs)], schema=schema)
@@ -119,6 +146,20 @@ def _edge_windows(window: int, phrase: int):
     return run
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching spans of each text as one."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans"):
+            x = np.sort(spans.values.to_numpy())
+            lo = x >> 32
+            reach = np.maximum.accumulate(lo + (x & _LOW))
+            cut = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
+            begin = lo[cut]
+            out.append((begin << 32) | (reach[np.concatenate([cut[1:] - 1, [len(x) - 1]])] - begin))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "tag", "spans"])
+
+
 def find_repeats(tagged: DataFrame, window: int, phrase: int, inside: bool = False) -> DataFrame:
     """doc_id, tag, spans: per text that has any, the repeated windows as (start << 32 | words), unordered, overlapping.
 
@@ -140,11 +181,14 @@ def find_repeats(tagged: DataFrame, window: int, phrase: int, inside: bool = Fal
     late = (F.col("ref_id") < F.col("doc_id")) | (F.lit(inside) & (F.col("ref_id") == F.col("doc_id")) & (F.col("ref_loc") < F.col("loc")))
     tag_of = F.shiftright("loc", 32)
     hits = found.where(late).repartition("doc_id", tag_of).sortWithinPartitions("doc_id", "loc")
-    parts = materialize(hits.mapInArrow(_factors(window, phrase), "doc_id long, tag long, span long, key long"))
-    keys = materialize(parts.where("key is not null").select("key").distinct())
-    places = found.join(keys, "key", "left_semi").groupBy("doc_id", tag_of.alias("tag")).agg(F.collect_set(F.col("loc").bitwiseAND(F.lit(_LOW))).alias("places"))
-    wide = with_lists(known.select("doc_id", "tag", "text"), materialize(places), "places", how="inner")
-    edges = materialize(wide.mapInArrow(_edge_windows(window, phrase), "h1 long, h2 long, doc_id long, loc long").distinct())
+    parts = materialize(hits.mapInArrow(_factors(window, phrase), "doc_id long, tag long, span long, key long, mask long"))
+    asked = parts.where("key is not null")
+    keys = materialize(asked.groupBy("key").agg(F.bit_or("mask").alias("mask")))
+    place = lambda at: F.shiftleft("mask", 32).bitwiseOR(at).alias("place")
+    source = found.where(~late).join(keys, "key").select("doc_id", tag_of.alias("tag"), place(F.col("loc").bitwiseAND(F.lit(_LOW))))
+    places = materialize(asked.select("doc_id", "tag", place(F.col("span"))).union(source).groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")))
+    wide = with_lists(known.select("doc_id", "tag", "text"), places, "places", how="inner")
+    edges = materialize(wide.mapInArrow(_edge_windows(window, phrase), "h1 long, h2 long, doc_id long, loc long"))
     if inside:
         best = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "loc")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.col("best.doc_id").alias("b_id"), F.col("best.loc").alias("b_loc"))
         after = (F.col("b_id") < F.col("doc_id")) | ((F.col("b_id") == F.col("doc_id")) & (F.col("b_loc") < F.col("loc")))
@@ -153,12 +197,15 @@ def find_repeats(tagged: DataFrame, window: int, phrase: int, inside: bool = Fal
         after = F.col("b_id") < F.col("doc_id")
     singles = edges.join(materialize(best), ["h1", "h2"]).where(after).select("doc_id", tag_of.alias("tag"), F.shiftleft(F.col("loc").bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(F.lit(window)).alias("span"))
     every = parts.where("key is null").select("doc_id", "tag", "span").union(singles)
-    return materialize(every.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans")))
+    merged = every.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans")).mapInArrow(_merge_spans, "doc_id long, tag long, spans array<long>")
+    return materialize(merged)
 
 
-def tag(text: str) -> Column:
-    """31 bits that tell texts of one doc_id apart."""
-    return F.xxhash64(F.col(text)).bitwiseAND(F.lit(0x7FFFFFFF))
+def tagged_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, tag: 31 bits that tell texts of one doc_id apart, or 0 throughout if no id repeats."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    unique = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return rows.withColumn("tag", F.lit(0).cast("long") if unique else F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
 
 
 def with_lists(tagged: DataFrame, lists: DataFrame, column: str, how: str = "left") -> DataFrame:

@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from starloom.llm._repeats import covered, find_repeats, joined, tag, with_lists
+from starloom.llm._repeats import covered, find_repeats, joined, tagged_texts, with_lists
 from starloom.llm._shared import text_slices
 from starloom.llm._words import split_words
 
@@ -47,7 +46,7 @@ def remove_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col
     Other columns are not read; an empty table gives no rows.
     """
     phrase = window // 2 + 1
-    tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", tag("text"))
+    tagged = tagged_texts(docs, id_col, text_col)
     spans = find_repeats(tagged, window, phrase)
     wide = with_lists(tagged, spans, "spans")
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

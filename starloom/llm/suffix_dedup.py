@@ -7,9 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from starloom.llm._repeats import covered, find_repeats, joined, tag, with_lists
+from starloom.llm._repeats import covered, find_repeats, joined, tagged_texts, with_lists
 from starloom.llm._shared import text_slices
 from starloom.llm._words import split_words
 
@@ -50,7 +49,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with another text are told apart; rows that repeat both are one document and give equal rows.
     Other columns are not read; an empty table gives no rows.
     """
-    tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", tag("text"))
+    tagged = tagged_texts(docs, id_col, text_col)
     spans = find_repeats(tagged, words, words // 2 + 1, inside=True)
     wide = with_lists(tagged, spans, "spans", how="inner")
     kinds = "doc_id long, start_word long, n_words long, text_words long" + ", passage string" * with_text
@@ -67,6 +66,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50) -> DataFrame:
     """doc_id, kept_text: one row per document, without its repeated stretches, kept words joined by one space."""
-    tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", tag("text"))
+    tagged = tagged_texts(docs, id_col, text_col)
     wide = with_lists(tagged, find_repeats(tagged, words, words // 2 + 1, inside=True), "spans")
     return wide.mapInArrow(_kept, "doc_id long, tag long, kept_text string").drop("tag")
