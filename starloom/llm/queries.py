@@ -106,6 +106,24 @@ def oracle_sql() -> dict[str, str]:
             o AS (SELECT doc_id, w, coalesce(places, []) AS places FROM d LEFT JOIN gone USING (doc_id)),
             y AS (SELECT doc_id, len(w) AS n, len(places) AS r, w, list_transform(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)) AS keep FROM o)
             SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(list_where(w, keep), ' ')) AS kept_sha256 FROM y""",
+        "op5_minhash_near_dedup": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+            m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
+        "op7_suffix_dedup": r"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+            h AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS k FROM s),
+            m AS (SELECT k, min(doc_id * 4294967296 + i) AS first FROM h GROUP BY k HAVING count(*) > 1),
+            x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h JOIN m USING (k) WHERE doc_id * 4294967296 + i > first),
+            g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x)
+            SELECT doc_id, min(i) - 1 AS start_word, count(*) AS n_words, CAST(any_value(len(w)) AS BIGINT) AS text_words FROM g JOIN d USING (doc_id) GROUP BY doc_id, run""",
         "op10_source_mixing": r"""
             WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
 ]+')), 0) AS BIGINT) AS size,

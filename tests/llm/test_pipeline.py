@@ -34,7 +34,10 @@ def test_stages(spark, tmp_path):
         elif name == "mixing":
             times = Counter(after)
             assert set(times) <= set(before) and max(times.values()) <= 3 * max(Counter(before).values())
-            total = sum(len(words_of(r[1])) for r in before)
-            assert abs(sum(len(words_of(r[1])) for r in after) - total) <= 0.2 * total
+            total, largest = sum(len(words_of(r[1])) for r in before), {}
+            for r in before:
+                largest[r[3]] = max(largest.get(r[3], 0), len(words_of(r[1])))
+            # Whole documents only: each source ends within half a document of its target.
+            assert abs(sum(len(words_of(r[1])) for r in after) - total) <= sum(largest.values()) / 2
         else:
             assert {r[0] for r in after} == {r[0] for r in before}
