@@ -24,6 +24,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: An open element of the first kind ends where one of the second begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "option": {"option", "optgroup"}}
+#: Elements nested deeper are read as if they stood at this depth, as browsers do.
+DEEPEST = 512
 LISTS = frozenset("ul ol dl menu table select".split())
 APART = frozenset("head nav footer aside form button select fieldset menu dialog input label legend optgroup option datalist output progress meter map applet marquee".split())
 MAIN = frozenset("article main".split())
@@ -170,7 +172,8 @@ def blocks_of(page: str) -> list[Block]:
         inside = any(x[3] for x in stack)
         if name == "body":
             apart = False
-        stack.append((name, label, apart or name in APART or (name == "header" and not inside), main or name in MAIN))
+        if len(stack) < DEEPEST:
+            stack.append((name, label, apart or name in APART or (name == "header" and not inside), main or name in MAIN))
         renew()
     put(html.unescape(page[at:]))
     for b in out:
