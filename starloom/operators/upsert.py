@@ -27,14 +27,14 @@ def require_unique(source: DataFrame, key: list[str]) -> DataFrame:
 def merge(target: DataFrame, source: DataFrame, on: list[str], matched: list[When] = (), insert: bool = True, not_by_source: list[When] = (), insert_if: Column | None = None) -> DataFrame:
     """The state after a MERGE of ``source`` into ``target``; the first clause that holds wins.
 
-    Conditions and values name columns as ``t.x`` and ``s.x``. One full outer join on the keys. Rows
-    of the target with a null key never match, as in SQL. Source keys must be unique.
+    Conditions and values name columns as ``t.x`` and ``s.x``. One full outer join on the keys, or a left
+    one where nothing can be added; keys stay plain columns, so a target that is already dealt by key
+    does not move. Rows of the target with a null key never match, as in SQL. Source keys must be unique.
     """
     names = target.columns
-    t = target.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("t"))
-    s = source.select(F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("s"))
-    condition = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]
-    both = t.join(s, condition, "full")
+    side = lambda df, name: df.select(*[F.col(f"`{k}`").alias(f"{name}_{k}") for k in on], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+    condition = [F.col(f"t_{k}") == F.col(f"s_{k}") for k in on]
+    both = side(target, "t").join(side(source, "s"), condition, "full" if insert else "left")
     ours, theirs = F.col("t").isNotNull(), F.col("s").isNotNull()
     new = F.struct(*[(F.col(f"s.{c}") if c in source.columns else F.lit(None).cast(target.schema[c].dataType)).cast(target.schema[c].dataType).alias(c) for c in names])
     case = None

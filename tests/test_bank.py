@@ -127,3 +127,18 @@ def test_micro_batches(spark, raw, built, tmp_path):
     each_batch(stream, land_and_rebuild(store, bronze, silver), str(tmp_path / "checkpoint")).awaitTermination()
     every = coerce(p.store.read(bronze).where("_batch_id < '2026-03'"), silver)
     assert content(store.read(silver)) == content(H.rebuild_timeline(every, silver))
+
+
+def test_command_line(spark, built, tmp_path, capsys):
+    from starloom.__main__ import main, verify
+
+    p, _, _ = built
+    assert not [v for x in verify(p).values() for v in x.values() if v]
+    assert main(["generate", "--raw", str(tmp_path / "raw"), "--parties", "12"]) == 0
+    root = ["--raw", str(tmp_path / "raw"), "--root", str(tmp_path / "store"), "--batch", BATCHES[0]]
+    for command in ("land", "conform", "model", "verify", "smoke"):
+        assert main([command, *root]) == 0
+    assert '"gold_fact_transaction"' in capsys.readouterr().out
+    assert main(["reset", *root]) == 0
+    assert p.store.version(p.specs["silver_party"]) is not None
+    assert Store(spark, str(tmp_path / "store")).version(p.specs["silver_party"]) is None
