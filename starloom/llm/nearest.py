@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from starloom.llm._shared import materialize
 
 #: Rows of a block, and terms of a product that single precision adds up without rounding: 1024 * 127 ** 2 < 2 ** 24.
-QUERY_ROWS, ROWS, EXACT_TERMS = 1024, 8192, 1024
+QUERY_ROWS, ROWS, EXACT_TERMS = 1024, 4096, 1024
 _PAIRS = 1 << 16
 
 
