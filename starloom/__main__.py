@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from starloom import docs
 from starloom.operators import checks as K
 from starloom.operators import history as H
-from starloom.plans.bank import QUESTIONS, Pipeline, Tables, ask
+from starloom.plans.bank import QUESTIONS, Pipeline
 from starloom.sources.extracts import integers
 from starloom.sources.generator import BATCHES, Bank
 from starloom.sources.store import Store
@@ -18,7 +18,7 @@ from starloom.sources.store import Store
 
 def verify(p: Pipeline) -> dict[str, dict[str, int]]:
     """Fault counts of every check that the specs imply, over the tables as stored."""
-    t = Tables({n: p.store.read(s) for n, s in p.specs.items()})
+    t = p.tables()
     out: dict[str, dict[str, int]] = {}
     for name, spec in p.specs.items():
         if spec.layer == "bronze":
@@ -70,12 +70,9 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps(found))
         return int(any(v for x in found.values() for v in x.values()))
     elif a.command == "ask":
-        for spec in p.specs.values():
-            if spec.layer == "gold":
-                p.store.register(spec)
-        for name in QUESTIONS:
+        for name, question in QUESTIONS.items():
             print(name)
-            ask(spark, name).show(truncate=False)
+            question(p.tables()).show(truncate=False)
     else:
         counts: dict[str, dict[str, int]] = {}
         for batch in batches:

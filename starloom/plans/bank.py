@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import category_code, date_key, unknown_key
@@ -14,7 +14,7 @@ from starloom.operators import facts as X
 from starloom.operators import history as H
 from starloom.operators.clean import coerce, deduplicate
 from starloom.operators.upsert import upsert_latest
-from starloom.schema import require
+from starloom.schema import columns, require
 from starloom.sources.extracts import batch_of, read_extract
 from starloom.sources.store import Store
 from starloom.spec import Spec, bank_model
@@ -141,6 +141,10 @@ class Pipeline:
             t = t.plus(name, self.store.publish(require(_ordered(build(t, self._now), spec), spec), spec))
         return t
 
+    def tables(self) -> Tables:
+        """All tables as stored."""
+        return Tables({n: self.store.read(s) for n, s in self.specs.items()})
+
     def advance(self, root: str, batch_id: str) -> Tables:
         """All layers for one batch."""
         self.land(root, batch_id)
@@ -149,20 +153,41 @@ class Pipeline:
 
 
 def _ordered(df: DataFrame, spec: Spec) -> DataFrame:
-    from starloom.schema import columns
-
     return df.select(*[F.col(a.name).cast(a.data_type).alias(a.name) for a in columns(spec)])
 
 
-#: Business questions over registered gold tables.
-QUESTIONS = {
-    "spend_by_category": "SELECT merchant_category_name AS category, count(*) AS txns, round(sum(abs(amount)), 0) AS total_spend FROM gold.fact_transaction JOIN gold.dim_merchant_category USING (merchant_category_sk) WHERE txn_type = 'DEBIT' GROUP BY 1 ORDER BY total_spend DESC, category LIMIT 5",
-    "latest_balance_by_product": "SELECT product_type, count(*) AS accounts, round(avg(closing_balance), 0) AS avg_balance FROM gold.fact_daily_balance JOIN gold.dim_account USING (account_sk) WHERE date_key = (SELECT max(date_key) FROM gold.fact_daily_balance) GROUP BY 1 ORDER BY avg_balance DESC, 1",
-    "spend_by_segment_at_the_time": "SELECT segment, count(*) AS txns, round(sum(abs(amount)), 0) AS total_spend FROM gold.fact_transaction JOIN gold.dim_party USING (party_sk) WHERE txn_type = 'DEBIT' GROUP BY 1 ORDER BY total_spend DESC, 1",
-    "closed_accounts_tenure": "SELECT product_type, count(*) AS closed_accounts, round(avg(days_open)) AS avg_days_open, round(avg(txn_count)) AS avg_txns FROM gold.fact_account_lifecycle JOIN gold.dim_account USING (account_sk) WHERE closed_date_key IS NOT NULL GROUP BY 1 ORDER BY closed_accounts DESC, 1",
-}
+def _spend(t: Tables, dim: str, key: str, by: str) -> DataFrame:
+    """Number and absolute sum of debits by an attribute of a dimension, largest first."""
+    debits = t["gold_fact_transaction"].where("txn_type = 'DEBIT'").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("amount")).alias("spent"))
+    named = debits.join(t[dim].select(key, by), key).groupBy(by).agg(F.sum("n").alias("txns"), F.round(F.sum("spent"), 0).alias("total_spend"))
+    return named.orderBy(F.desc("total_spend"), by)
+
+
+def spend_by_category(t: Tables) -> DataFrame:
+    """The five merchant categories with the largest spend; debits are summed by key before the join."""
+    return _spend(t, "gold_dim_merchant_category", "merchant_category_sk", "merchant_category_name").limit(5)
+
+
+def spend_by_segment_at_the_time(t: Tables) -> DataFrame:
+    """Spend by the segment that each customer was in when spending."""
+    return _spend(t, "gold_dim_party", "party_sk", "segment")
+
+
+def latest_balance_by_product(t: Tables) -> DataFrame:
+    """Accounts and mean closing balance of each product on the last day of the snapshot."""
+    balance = t["gold_fact_daily_balance"]
+    last = balance.join(F.broadcast(balance.agg(F.max("date_key").alias("date_key"))), "date_key")
+    by_product = last.join(t["gold_dim_account"].select("account_sk", "product_type"), "account_sk").groupBy("product_type")
+    return by_product.agg(F.count(F.lit(1)).alias("accounts"), F.round(F.avg("closing_balance"), 0).alias("avg_balance")).orderBy(F.desc("avg_balance"), "product_type")
+
+
+def closed_accounts_tenure(t: Tables) -> DataFrame:
+    """How many accounts of each product closed, after how many days and transactions on average."""
+    closed = t["gold_fact_account_lifecycle"].where("closed_date_key is not null")
+    by_product = closed.join(t["gold_dim_account"].select("account_sk", "product_type"), "account_sk").groupBy("product_type")
+    means = [F.round(F.avg(c)).alias(n) for c, n in (("days_open", "avg_days_open"), ("txn_count", "avg_txns"))]
+    return by_product.agg(F.count(F.lit(1)).alias("closed_accounts"), *means).orderBy(F.desc("closed_accounts"), "product_type")
 
 
-def ask(spark: SparkSession, question: str) -> DataFrame:
-    """A business question by name."""
-    return spark.sql(QUESTIONS[question])
+#: Business questions over the gold tables.
+QUESTIONS: dict[str, Callable[[Tables], DataFrame]] = {f.__name__: f for f in (spend_by_category, latest_balance_by_product, spend_by_segment_at_the_time, closed_accounts_tenure)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators import checks as K
 from starloom.operators import history as H
-from starloom.plans.bank import QUESTIONS, Pipeline, ask
+from starloom.plans.bank import QUESTIONS, Pipeline
 from starloom.sources.extracts import MissingColumns, read_extract
 from starloom.sources.generator import BATCHES, Bank
 from starloom.sources.store import Store
@@ -109,14 +109,18 @@ def test_any_order_of_landing_converges(spark, raw, built, tmp_path, order):
 
 
 def test_questions(spark, built):
-    p, _, _ = built
+    p, t, _ = built
     for spec in p.specs.values():
         if spec.layer == "gold":
             p.store.register(spec)
-    for name in QUESTIONS:
-        assert ask(spark, name).count() > 0
+    for question in QUESTIONS.values():
+        assert question(p.tables()).count() > 0
+    total = spark.sql("SELECT segment, sum(abs(amount)) AS spent FROM gold.fact_transaction JOIN gold.dim_party USING (party_sk) WHERE txn_type = 'DEBIT' GROUP BY ALL")
+    got = {r["segment"]: int(r["total_spend"]) for r in QUESTIONS["spend_by_segment_at_the_time"](t).collect()}
+    assert got == {r["segment"]: round(r["spent"]) for r in total.collect()}
     for spec in p.specs.values():
-        spark.sql(f"DROP TABLE IF EXISTS {spec.table}") if spec.layer == "gold" else None
+        if spec.layer == "gold":
+            spark.sql(f"DROP TABLE IF EXISTS {spec.table}")
 
 
 def test_micro_batches(spark, raw, built, tmp_path):
