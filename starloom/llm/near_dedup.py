@@ -8,20 +8,24 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm._shared import fresh, materialize, small, text_slices
 from starloom.llm._words import Words, mix, phrases, split_words, starts_of_windows
 from starloom.llm.components import components
 
-#: Signature: 32 bands of 4 minima; of each minimum the 2 low bits are kept, 32 to a long.
-BANDS, ROWS, BITS = 32, 4, 2
+#: Signature: 64 bands of 8 minima; of each minimum the 2 low bits are kept, 32 to a long.
+BANDS, ROWS, BITS = 64, 8, 2
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _ADD = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
 _EVEN_BITS = 0x5555555555555555
+#: Of larger clusters: members of a tile, and turns in which members name their best partners before all pairs left are compared.
+TILE, BEST_TURNS = 2048, 2
+#: Members and shingles of a cluster that one task resolves at most; larger clusters take the tiles.
+NEAR_BY = (4096, 4 << 20)
 
 
 def shingle_sets(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +84,133 @@ def estimated(left: list[Column], right: list[Column]) -> Column:
     return (same - F.lit(chance)) / F.lit(1 - chance)
 
 
-def least_estimate(threshold: float, sigmas: float = 6) -> float:
-    """The estimate that a pair at ``threshold`` undercuts with a probability of about 1e-9."""
+def least_estimate(threshold: float, sigmas: float = 5) -> float:
+    """The estimate that a pair at ``threshold`` undercuts with a probability below 1e-6."""
     chance = 1 / 2**BITS
     same = chance + (1 - chance) * threshold
     return (same - sigmas * math.sqrt(same * (1 - same) / HASHES) - chance) / (1 - chance)
 
 
+def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """estimated() for all rows of ``x`` against all rows of ``y``."""
+    unequal = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        differ = x[:, k, None] ^ y[:, k]
+        unequal += np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(_EVEN_BITS))
+    chance = 1 / 2**BITS
+    return (1 - unequal / HASHES - chance) / (1 - chance)
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, across batches, one table at a time."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if (now := tuple(marks[begin])) != key and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _resolve(length: int, percent: int, least: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(table: pa.Table) -> list[tuple[int, int]]:
+        cls, root = (table.column(c).to_numpy() for c in ("cls", "root"))
+        _, part = np.unique(root, return_inverse=True)
+        packed = table.column("packed").combine_chunks().flatten().to_numpy().reshape(len(cls), -1).view(np.uint64)
+        owner = list(range(part.max() + 1))
+
+        def find(x: int) -> int:
+            while owner[x] != x:
+                owner[x] = owner[owner[x]]
+                x = owner[x]
+            return x
+
+        h, at = shingle_sets(split_words(table.column("text").combine_chunks(), lower=True), length)
+        sets: dict[int, np.ndarray] = {}
+        rows, columns, values = [], [], []
+        for begin in range(0, len(cls), 256):
+            near = estimates(packed[begin : begin + 256], packed)
+            i, j = np.nonzero((near >= least) & (part[begin : begin + 256, None] < part))
+            rows.append((i + begin).astype(np.int32))
+            columns.append(j.astype(np.int32))
+            values.append(near[i, j].astype(np.float32))
+        rows, columns, values = (np.concatenate(x) for x in (rows, columns, values))
+        order = np.argsort(-values, kind="stable")
+        out = []
+        for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
+            p, q = find(int(part[i])), find(int(part[j]))
+            if p == q:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = np.unique(h[at[k] : at[k + 1]])
+            if near_enough(sets[i], sets[j], percent):
+                owner[max(p, q)] = min(p, q)
+                out.append((int(cls[i]), int(cls[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups_of(batches, ("cluster",)):
+            if found := links(table):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+
+    return run
+
+
+def _tile_pairs(every: bool, least: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
+    names = ("cls", "root", "nth", "left", "right")
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cls, root, nth, left, right = (table.column(c).to_numpy() for c in names)
+        packed, bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(cls), -1) for c in ("packed", "bands"))
+        packed, rows, columns = packed.view(np.uint64), np.flatnonzero(left), np.flatnonzero(right)
+        for begin in range(0, len(rows), 256):
+            own = rows[begin : begin + 256]
+            near = estimates(packed[own], packed[columns])
+            near[root[own][:, None] == root[columns]] = -1
+            if every:
+                i, j = np.nonzero(near >= least)
+                x, y = own[i], columns[j]
+                once = (cls[x] < cls[y]) | ~(left[y] & right[x])
+                i, j, x, y = i[once], j[once], x[once], y[once]
+                earlier = np.arange(bands.shape[1]) < nth[x][:, None]
+                fresh_ = ~((bands[x] == bands[y]) & earlier).any(axis=1)
+                i, j, x, y = i[fresh_], j[fresh_], x[fresh_], y[fresh_]
+            else:
+                j = near.argmax(axis=1)
+                i = np.flatnonzero(near[np.arange(len(own)), j] >= least)
+                j = j[i]
+                x, y = own[i], columns[j]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[x]), pa.array(cls[y]), pa.array(near[i, j])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups_of(batches, ("band", "p", "q")):
+            yield from pairs(table)
+
+    return run
+
+
+def near_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * |intersection| >= percent * |union|; an empty set has no neighbour."""
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(x, y)
+    both = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(length: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -99,11 +223,7 @@ def _confirm(length: int, percent: int):
             for i, j in enumerate(which):
                 if j not in known:
                     known[j] = np.unique(left[0][left[1][j] : left[1][j + 1]])
-                x, y = known[j], np.unique(right[0][right[1][i] : right[1][i + 1]])
-                if len(x) and len(y):
-                    at = np.searchsorted(x, y)
-                    both = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
-                    linked[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                linked[i] = near_enough(known[j], np.unique(right[0][right[1][i] : right[1][i + 1]]), percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=schema).filter(pa.array(linked))
 
     return run
@@ -115,11 +235,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked where 100 * |intersection| >= percent * |union| of their sets of
     ``length``-word shingles (A-Z lower-cased), and component_id is the smallest doc_id that
     links reach. Method: b-bit MinHash. Copies with the same set form one class; classes
-    meet in 32 bands of 4 minima (a pair at 0.8 escapes all bands with probability 5e-8, at
-    0.85 with 6e-11); the estimate from packed 2-bit minima drops pairs six deviations below
-    the threshold; what remains is confirmed on full sets. In each bucket one centre is
-    compared with the others first; later only members that components still hold apart
-    are, so a large group costs one comparison a member and no link between components is
+    meet in 64 bands of 8 minima (a pair at 0.8 escapes all bands with a probability of 8e-6, at
+    0.85 of 2e-9); the estimate from packed 2-bit minima drops pairs five deviations below the
+    threshold; what remains is confirmed on full sets. First each class is compared with the
+    one bucket centre that it meets most often. Then only buckets matter whose members components
+    still hold apart. Chains of such buckets form clusters: one of bounded size is resolved by one
+    task, likeliest pairs first, skipping what is joined meanwhile; larger ones go through tiles of
+    buckets, in which members name their likeliest partner for a few turns and all pairs still apart
+    at last. So a large group costs few comparisons a member, and no link between components is
     lost.
 
     Null or empty texts, or ones without words, have no shingles and stand alone. Rows that
@@ -132,41 +255,101 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tagged = rows.withColumn("tag", F.xxhash64("text"))
     signed = materialize(tagged.mapInArrow(_signatures(length), "doc_id long, tag long, n_shingles long, cls long, packed array<long>, bands array<long>"))
     classes = materialize(signed.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "packed", "bands")).alias("first")).select("cls", "first.*"))
-    packed = [F.col("packed")[i].alias(f"p{i}") for i in range(LONGS)]
-    bucketed = classes.select("cls", F.explode("bands").alias("band"))
-    shared = materialize(bucketed.groupBy("band").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"))
-    members = materialize(bucketed.join(shared, "band").select("band", "a", F.col("cls").alias("b")))
+    sign = lambda name, side: classes.select(F.col("cls").alias(name), *[F.col("packed")[i].alias(f"{side}{i}") for i in range(LONGS)])
     left, right = ([F.col(f"{side}{i}") for i in range(LONGS)] for side in "xy")
     near = estimated(left, right) >= F.lit(least_estimate(percent / 100))
-    sign = lambda name, side: classes.select(F.col("cls").alias(name), *[p.alias(f"{side}{i}") for i, p in enumerate(packed)])
 
-    stars = members.where("a <> b").select("a", "b").distinct()
+    centred = classes.select("cls", F.explode("bands").alias("band")).withColumn("a", F.min("cls").over(Window.partitionBy("band"))).where("a <> cls")
+    stars = materialize(centred.groupBy("cls").agg(F.mode("a", True).alias("a")).select("a", F.col("cls").alias("b")))
     stars = materialize(stars.join(sign("a", "x"), "a").join(sign("b", "y"), "b").where(near).select("a", "b"))
     links = _linked(stars, classes, tagged, length, percent)
     roots = components(links)
-    placed = members.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    centre = roots.select(F.col("node").alias("a"), F.col("root").alias("own"))
-    placed = materialize(placed.join(centre, "a", "left").withColumn("own", F.coalesce("own", "a")).join(sign("b", "y"), "b"))
-    apart = placed.where("root <> own").select("band", F.col("b").alias("l"), F.col("root").alias("l_root"), *[F.col(f"y{i}").alias(f"x{i}") for i in range(LONGS)])
-    others = placed.select("band", F.col("b").alias("r"), F.col("root").alias("r_root"), "own", *[f"y{i}" for i in range(LONGS)])
-    pairs = apart.join(others, "band").where((F.col("l_root") != F.col("r_root")) & ((F.col("r_root") == F.col("own")) | (F.col("l") < F.col("r"))) & near)
-    pairs = pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
-    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = _linked(pairs, classes, tagged, length, percent)
-        roots = components(links.union(more))
+    mixed = _mixed(classes, roots)
+    groups = materialize(_groups(mixed, signed))
+    local = groups.where("near_by").select("cls", "root", "cluster")
+    more = _linked_near_by(local, classes, tagged, length, percent)
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = components(links)
+    wide = groups.where("not near_by").select("cls")
+    tested, turn = stars, BEST_TURNS + 1 if wide.isEmpty() else 0
+    while turn <= BEST_TURNS:
+        every = turn == BEST_TURNS
+        pairs = _apart(_mixed(classes.join(wide, "cls", "left_semi"), roots), classes, turn, every, percent)
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        more = None if pairs.isEmpty() else _linked(pairs, classes, tagged, length, percent)
+        joined = more is not None and not more.isEmpty()
+        if joined:
+            links = links.union(more)
+            roots = components(links)
+        if every:
+            break
+        tested, turn = tested.union(pairs), turn + 1 if joined else BEST_TURNS
     owner = signed.select("doc_id", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("doc_id").alias("least"))
     alone = F.col("n_shingles") == 0
-    return owner.join(ids, "root", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return owner.join(materialize(ids), "root", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, tagged: DataFrame, length: int, percent: int) -> DataFrame:
-    """Those of the class pairs whose representatives' full sets are near enough."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id", "tag"), "cls"))
+def _mixed(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, nth, cls, root, n: members of the buckets in which ``roots`` hold some apart, and the bucket's size."""
+    bucket = Window.partitionBy("band")
+    placed = classes.select("cls", "bands").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.posexplode("bands").alias("nth", "band"))
+    mixed = placed.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high")
+    return materialize(mixed.withColumn("n", F.count(F.lit(1)).over(bucket)).drop("high"))
+
+
+def _groups(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+    """cls, root, cluster, near_by: classes that chains of mixed buckets join, and whether one task holds them all."""
+    chains = components(mixed.select(F.col("low").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    members = mixed.select("cls", "root").distinct().join(chains.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root")
+    sizes = signed.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("shingles"))
+    weighed = materialize(members.join(sizes, "cls"))
+    fits = weighed.groupBy("cluster").agg(((F.count(F.lit(1)) <= NEAR_BY[0]) & (F.sum("shingles") <= NEAR_BY[1])).alias("near_by"))
+    return weighed.join(materialize(fits), "cluster").select("cls", "root", "cluster", "near_by")
+
+
+def _linked_near_by(members: DataFrame, classes: DataFrame, tagged: DataFrame, length: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is apart within clusters of bounded size: whole texts, one cluster at a time."""
+    texts = _texts(members.select("cls"), classes, tagged)
+    rows = members.join(classes.select("cls", "packed"), "cls").join(texts, "cls")
+    rows = rows.repartition("cluster").sortWithinPartitions("cluster", "cls")
+    return materialize(rows.select("cluster", "cls", "root", "packed", "text").mapInArrow(_resolve(length, percent, least_estimate(percent / 100)), "a long, b long"))
+
+
+def _apart(mixed: DataFrame, classes: DataFrame, turn: int, every: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of one mixed bucket that are apart and whose estimate is near enough, for clusters of any size.
+
+    Buckets are cut to tiles of about TILE members, dealt anew each ``turn``. Then each member
+    names its best partner in its tile; or with ``every``, tiles of all pairs of parts of a bucket
+    name each such pair, once, in the first band that it shares.
+    """
+    mixed = mixed.withColumn("parts", F.ceil(F.col("n") / TILE))
+    part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("parts"))
+    if every:
+        dealt = mixed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other"), "left": F.col("part") <= F.col("other"), "right": F.col("part") >= F.col("other")})
+    else:
+        dealt = mixed.withColumns({"p": part, "q": part, "left": F.lit(True), "right": F.lit(True)})
+    tiles = dealt.select("cls", "root", "nth", "band", "p", "q", "left", "right").join(classes.select("cls", "packed", "bands"), "cls")
+    tiles = tiles.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "cls")
+    named = tiles.mapInArrow(_tile_pairs(every, least_estimate(percent / 100)), "a long, b long, estimate double")
+    if not every:
+        named = named.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _texts(wanted: DataFrame, classes: DataFrame, tagged: DataFrame) -> DataFrame:
+    """cls, text: one whole text of each wanted class."""
+    wanted = materialize(wanted.distinct().join(classes.select("cls", "doc_id", "tag"), "cls"))
     key = [F.col("w_id").eqNullSafe(F.col("doc_id")), F.col("w_tag") == F.col("tag")]
     named = small(wanted.select("cls", F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag")), 24, wanted.count())
-    texts = materialize(tagged.join(named, key).groupBy("cls").agg(F.first("text").alias("text")))
+    return materialize(tagged.join(named, key).groupBy("cls").agg(F.first("text").alias("text")))
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, tagged: DataFrame, length: int, percent: int) -> DataFrame:
+    """Those of the class pairs whose representatives' full sets are near enough."""
+    texts = _texts(pairs.select("a").distinct().union(pairs.select("b").distinct()).withColumnRenamed("a", "cls"), classes, tagged)
     found = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     return materialize(found.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(length, percent), "a long, b long"))
 

@@ -332,3 +332,23 @@ def test_empty_tables(empty):
     for f in (drop_near_duplicates, drop_exact_duplicates, mixed_corpus, keep_identified):
         out = f(empty)
         assert out.collect() == [] and out.columns == empty.columns
+
+
+def test_clusters_of_any_size(spark, monkeypatch):
+    """The tiles of large clusters find what one task finds in a small one."""
+    from starloom.llm import near_dedup
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for k in rng.sample(range(120), rng.randint(0, 5)):
+            own[k] = f"x{rng.randrange(9000)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = Counter((i, n, c, i == c) for i, n, c in near_groups(rows, 85))
+    assert rows_of(near_duplicates(docs)) == expected
+    monkeypatch.setattr(near_dedup, "NEAR_BY", (0, 0))
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    assert rows_of(near_duplicates(docs)) == expected
