@@ -38,6 +38,7 @@ NOISE_WORDS = frozenset(
 )
 #: Words that make a mark a statement about the page, as in ``with-sidebar``.
 WITHOUT = frozenset("has with without no".split())
+OWN = frozenset(["header"])
 MAIN_WORDS = frozenset("article articlebody main maincontent postcontent postbody entrycontent entry storybody".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _PUNCTUATION = re.compile("[.,;:!?…。，、；：！？¿¡]")
@@ -54,8 +55,11 @@ class Block:
     text: str = ""
 
 
-def _marks(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's label in paths, whether its attributes set it apart, and whether they name the article."""
+def _marks(name: str, attributes: str, inside: bool = False) -> tuple[str, bool, bool]:
+    """An element's label in paths, whether its attributes set it apart, and whether they name the article.
+
+    ``inside`` an article, a header is the article's own, with its title.
+    """
     if not attributes.strip():
         return name, False, False
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes) if m[1]}
@@ -65,7 +69,7 @@ def _marks(name: str, attributes: str) -> tuple[str, bool, bool]:
     for token in named.split():
         words = {w.lower() for w in _WORDS.findall(token)} | {re.sub("[^a-z]", "", token.lower())}
         main = main or re.sub("[^a-z]", "", token.lower()) in MAIN_WORDS
-        apart = apart or bool(words & NOISE_WORDS and not words & WITHOUT)
+        apart = apart or bool((words - OWN if inside else words) & NOISE_WORDS and not words & WITHOUT)
     apart = apart and not main
     style = re.sub(r"\s", "", found.get("style", "").lower())
     apart = apart or "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
@@ -168,8 +172,8 @@ def blocks_of(page: str) -> list[Block]:
         if name == "hr":
             renew()
             continue
-        label, apart, main = _marks(name, attributes)
-        inside = any(x[3] for x in stack)
+        inside = any(x[0] == "article" for x in stack)
+        label, apart, main = _marks(name, attributes, inside)
         if name == "body":
             apart = False
         if len(stack) < DEEPEST:

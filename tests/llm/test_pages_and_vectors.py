@@ -68,6 +68,8 @@ def test_main_text(spark):
     got = Counter(map(tuple, extract_main_text(pages).collect()))
     assert got == Counter((i, u, t, len(t)) for i, u, _, t in cases)
     assert extract_main_text(pages.limit(0)).collect() == []
+    framed = "<main><header class='page-header'>Site</header><article><div class='entry-header'><h1>Own title</h1></div><p>Text, here.</p></article></main>"
+    assert main_text(framed) == "Own title\n\nText, here."
     assert main_text("<p>" * 20_000 + "deep, text") == "deep, text"
 
 
