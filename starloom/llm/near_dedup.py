@@ -251,6 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other ids, and its component_id is null where it stands alone (kept is then true). Other
     columns are not read. No rows give no rows.
     """
+    return _judged(docs, id_col, text_col, length, percent).drop("tag")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, percent: int) -> DataFrame:
+    """near_duplicates() with the hash of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tagged = rows.withColumn("tag", F.xxhash64("text"))
     signed = materialize(tagged.mapInArrow(_signatures(length), "doc_id long, tag long, n_shingles long, cls long, packed array<long>, bands array<long>"))
@@ -285,10 +290,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if every:
             break
         tested, turn = tested.union(pairs), turn + 1 if joined else BEST_TURNS
-    owner = signed.select("doc_id", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    owner = signed.select("doc_id", "tag", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("doc_id").alias("least"))
     alone = F.col("n_shingles") == 0
-    return owner.join(materialize(ids), "root", "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return owner.join(materialize(ids), "root", "left").select("doc_id", "tag", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _mixed(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -357,11 +362,12 @@ def _linked(pairs: DataFrame, classes: DataFrame, tagged: DataFrame, length: int
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group kept, the one with the smallest id; all its columns and whole texts.
 
-    Rows that repeat the kept id are all kept. A row with a null id goes where its group has
-    an id, and stays otherwise.
+    Rows are judged by id and text: those that repeat the kept id and are in its group stay, and a row
+    with a null id goes where its group has an id.
     """
     key, tag = fresh(docs, "near_id", "near_tag")
-    verdict = near_duplicates(docs, id_col, text_col, length, percent)
-    gone = materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
-    named = small(gone, 16, gone.count())
-    return docs.join(named, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti")
+    verdict = _judged(docs, id_col, text_col, length, percent)
+    gone = materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("tag").alias(tag)).distinct())
+    named = small(gone, 24, gone.count())
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(tag))
+    return docs.join(named, same, "left_anti")
