@@ -427,3 +427,40 @@ def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.table_fingerprint(_versions(spark, sf_dir))
+
+
+@_query("""SELECT n_name, CAST(to_json({'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}) AS VARCHAR) AS _rescued_data FROM nation""")
+def rescue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "nation").select("n_name", F.to_json(F.struct("n_nationkey", "n_regionkey")).alias("_rescued_data"))
+
+
+@_query(f"WITH {_GONE} SELECT (SELECT count(*) FROM gone)::DOUBLE / count(DISTINCT user_id) AS share FROM events")
+def deletion_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = _versions(spark, sf_dir).where("is_current").agg(F.count(F.lit(1)).alias("open"))
+    gone = _gone(spark, sf_dir).agg(F.count(F.lit(1)).alias("gone"))
+    return gone.crossJoin(F.broadcast(current)).select((F.col("gone").cast("double") / F.col("open")).alias("share"))
+
+
+@_query("""SELECT r.r_name, count(n.n_nationkey) AS nations, count(*) FILTER (n.n_nationkey IS NULL) AS without FROM region r LEFT JOIN nation n ON r.r_regionkey = n.n_regionkey AND n.n_name < 'M' GROUP BY 1""")
+def left_join_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _t(spark, sf_dir, "nation").where("n_name < 'M'")
+    joined = _t(spark, sf_dir, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return joined.groupBy("r_name").agg(F.count("n_nationkey").alias("nations"), F.count_if(F.col("n_nationkey").isNull()).alias("without"))
+
+
+@_query()
+def ddl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.schema import create_table
+    from starloom.spec import bank_model
+
+    return spark.createDataFrame([(n, create_table(s)) for n, s in bank_model().items()], "spec string, ddl string")
+
+
+@_query()
+def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starloom.schema import differences, struct
+    from starloom.spec import bank_model
+
+    model = bank_model()
+    faults = [(n, d) for n, s in model.items() for d in differences(struct(model["silver_party"]), s)]
+    return spark.createDataFrame(faults, "spec string, difference string")
