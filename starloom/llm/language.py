@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm._shared import text_slices
+from starloom.llm._shared import materialize, small, text_slices
 from starloom.llm._words import mix
 
 GRAM = 4
@@ -119,8 +119,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     fold = F.crc32(F.col(id_col).cast("string")) % 4
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold != 2)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"))
     known = known.where(F.length("text") <= chars)
-    total = known.groupBy("lang").count()
-    near = known.join(total, "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("count") < F.lit(float(rows * 2 * (1 << 20))))
+    total = materialize(known.groupBy("lang").count())
+    near = known.join(small(total, 64, total.count()), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("count") < F.lit(float(rows * 2 * (1 << 20))))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= rows)
     return [(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()]
 
