@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm._shared import materialize, small, text_slices
+from starloom.llm._shared import materialize, release, small, text_slices
 from starloom.llm._words import Words, minimisers, phrases, split_words, starts_of_windows
 
 _LOW = 0xFFFFFFFF
@@ -178,10 +178,14 @@ def find_repeats(tagged: DataFrame, window: int, phrase: int, inside: bool = Fal
     ref_loc = F.when(local, F.col("ref_loc"))
     found = found.select("key", "doc_id", "loc", F.coalesce("ref_id", "first.doc_id").alias("ref_id"), F.coalesce(ref_loc, "first.loc").alias("ref_loc"))
     found = materialize(found)
+    del rows
+    release(tagged.sparkSession)
     late = (F.col("ref_id") < F.col("doc_id")) | (F.lit(inside) & (F.col("ref_id") == F.col("doc_id")) & (F.col("ref_loc") < F.col("loc")))
     tag_of = F.shiftright("loc", 32)
     hits = found.where(late).repartition("doc_id", tag_of).sortWithinPartitions("doc_id", "loc")
     parts = materialize(hits.mapInArrow(_factors(window, phrase), "doc_id long, tag long, span long, key long, mask long"))
+    del hits
+    release(tagged.sparkSession)
     asked = parts.where("key is not null")
     keys = materialize(asked.groupBy("key").agg(F.bit_or("mask").alias("mask")))
     place = lambda at: F.shiftleft("mask", 32).bitwiseOR(at).alias("place")
@@ -189,6 +193,8 @@ def find_repeats(tagged: DataFrame, window: int, phrase: int, inside: bool = Fal
     places = materialize(asked.select("doc_id", "tag", place(F.col("span"))).union(source).groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")))
     wide = with_lists(known.select("doc_id", "tag", "text"), places, "places", how="inner")
     edges = materialize(wide.mapInArrow(_edge_windows(window, phrase), "h1 long, h2 long, doc_id long, loc long"))
+    del wide
+    release(tagged.sparkSession)
     if inside:
         best = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "loc")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.col("best.doc_id").alias("b_id"), F.col("best.loc").alias("b_loc"))
         after = (F.col("b_id") < F.col("doc_id")) | ((F.col("b_id") == F.col("doc_id")) & (F.col("b_loc") < F.col("loc")))
@@ -198,7 +204,9 @@ def find_repeats(tagged: DataFrame, window: int, phrase: int, inside: bool = Fal
     singles = edges.join(materialize(best), ["h1", "h2"]).where(after).select("doc_id", tag_of.alias("tag"), F.shiftleft(F.col("loc").bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(F.lit(window)).alias("span"))
     every = parts.where("key is null").select("doc_id", "tag", "span").union(singles)
     merged = every.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans")).mapInArrow(_merge_spans, "doc_id long, tag long, spans array<long>")
-    return materialize(merged)
+    merged = materialize(merged)
+    release(tagged.sparkSession)
+    return merged
 
 
 def tagged_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

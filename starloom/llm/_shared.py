@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,6 +41,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then does Spark delete the shuffle files of finished steps.
+
+    For steps whose shuffle is of the order of the input, so that disks hold one of them at a time.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, bytes_per_row: int, rows: int) -> DataFrame:
     """``df``, marked for broadcast only if its measured ``rows`` stay within BROADCAST_BYTES."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
