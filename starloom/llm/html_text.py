@@ -29,6 +29,9 @@ DEEPEST = 512
 LISTS = frozenset("ul ol dl menu table select".split())
 APART = frozenset("head nav footer aside form button select fieldset menu dialog input label legend optgroup option datalist output progress meter map applet marquee".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What orders text within a container, and so belongs to it.
+STRUCTURE = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre p figure figcaption header hgroup details summary".split()) | HEADINGS
 #: Words of class, id or role that mark what is not the article, and what is.
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar topnav subnav breadcrumb breadcrumbs pagination pager header masthead topbar toolbar footer foot colophon copyright legal sidebar aside rail widget widgets "
@@ -74,7 +77,7 @@ def _marks(name: str, attributes: str, inside: bool = False) -> tuple[str, bool,
     style = re.sub(r"\s", "", found.get("style", "").lower())
     apart = apart or "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
     first = found.get("class", "").split()
-    return f"{name}.{first[0]}" if first else name, apart, main
+    return f"{name}.{first[0].replace('/', '|')}" if first else name, apart, main
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -191,8 +194,9 @@ def content_of(blocks: list[Block]) -> list[str]:
     What tags, classes, ids or roles set apart is left out, and where an article is marked only it
     counts. Then text length and punctuation a node are summed up over each tag path, smoothed with
     those of the neighbouring nodes' paths, fused to one score and held against a threshold of the
-    page; mostly linked paths score nothing. In an article or beside chosen paths, headings and short
-    blocks of the same container stay too.
+    page; mostly linked paths score nothing. This decides within a marked article too. Beside chosen
+    paths, blocks of the same container stay, in its lists, tables and quotes as well, and so do
+    headings above or right before what stays and the first-level headings of a marked article.
     """
     open_ = [b for b in blocks if not b.apart]
     marked = [b for b in open_ if b.main]
@@ -217,8 +221,23 @@ def content_of(blocks: list[Block]) -> list[str]:
     threshold = 0.4 * sum(mean[p] * chars[p] for p in mean) / weight
     good = {p for p in mean if mean[p] >= threshold and dense[p] <= 0.5}
     around = {b.inside for b in chosen if b.path in good}
-    near = lambda b: b.inside in around or any(b.inside.startswith(f"{c}/") for c in around if c)
-    return [b.text for b in chosen if b.path in good or (dense[b.path] <= 0.5 and (marked or near(b)))]
+    above = {c[:i] for c in around for i in range(len(c) + 1) if i == len(c) or c[i] == "/"}
+    kept = [False] * len(chosen)
+    for i in range(len(chosen) - 1, -1, -1):
+        b, last = chosen[i], chosen[i].path.rpartition("/")[2].split(".")[0]
+        kept[i] = b.path in good
+        if not kept[i] and dense[b.path] <= 0.5:
+            kept[i] = _near(b.inside, around) or last in HEADINGS and (b.inside in above or b.main and last == "h1" or i + 1 < len(chosen) and kept[i + 1])
+    return [b.text for b, k in zip(chosen, kept, strict=True) if k]
+
+
+def _near(inside: str, around: set[str]) -> bool:
+    """Whether a container is one of ``around``, or in one with nothing but text structure between."""
+    while inside not in around:
+        inside, _, last = inside.rpartition("/")
+        if last.split(".")[0] not in STRUCTURE:
+            return False
+    return True
 
 
 def main_text(page: str | None) -> str:

@@ -73,6 +73,18 @@ def test_main_text(spark):
     assert main_text("<p>" * 20_000 + "deep, text") == "deep, text"
 
 
+def test_scores_decide_in_articles():
+    text = "".join(f"<p>Paragraph {i} of the text, which is long enough, has commas, and ends well. It goes on, and on; it stops here.</p>" for i in range(4))
+    teasers = "<div class=qx><h3>More stories</h3><p>How one won</p><p>Why two lost</p><p>Where three went</p></div>"
+    listed = "<h2>Sub</h2><ul><li>item one<li>item two</ul><table><tr><td>cell</table><blockquote><p>Quote</blockquote>"
+    kept = ["Sub", "item one", "item two", "cell", "Quote"]
+    for a, b in (("", ""), ("<div class=body>", "</div>"), ("<div class='w-1/2'>", "</div>")):
+        got = main_text(f"<article><div class=top><h1>Title</h1></div>{a}{text}{listed}{text}{b}{teasers}</article>").split("\n\n")
+        assert [x for x in got if not x.startswith("Paragraph")] == ["Title", *kept]
+        assert len(got) == 14
+    assert main_text(f"<main><h1>Title</h1><p>{'Some words, more. ' * 9}</p></main>").startswith("Title\n\nSome")
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_nearest(spark, kind):
     rng = np.random.default_rng(6)
