@@ -111,9 +111,7 @@ def blocks_of(page: str) -> list[Block]:
         del stack[k:]
         renew()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(page, at):
         put(html.unescape(page[at : m.start()]))
         at = m.end()
         name = (m[2] or m[5] or "").lower()

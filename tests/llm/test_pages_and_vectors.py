@@ -73,6 +73,13 @@ def test_main_text(spark):
     assert main_text("<p>" * 20_000 + "deep, text") == "deep, text"
 
 
+def test_scan_resumes_after_raw_elements():
+    rest = "<nav><a href=/>Home</a></nav><article><p>It's the text.</p></article>"
+    for script in ("for(i=0;i<n;i++) { // don't stop", "s = '<!--'; t = '<![CDATA[';", "a<b && '<p title=\"'"):
+        assert main_text(f"<script>{script}</script>{rest}") == "It's the text."
+    assert main_text(f"<svg><text>a<b c='</text></svg>{rest}<span hidden>i<n 'x</span>") == "It's the text."
+
+
 def test_scores_decide_in_articles():
     text = "".join(f"<p>Paragraph {i} of the text, which is long enough, has commas, and ends well. It goes on, and on; it stops here.</p>" for i in range(4))
     teasers = "<div class=qx><h3>More stories</h3><p>How one won</p><p>Why two lost</p><p>Where three went</p></div>"
