@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 #: Elements nested deeper are read as if they stood at this depth, as browsers do.
 DEEPEST = 512
 LISTS = frozenset("ul ol dl menu table select".split())
-APART = frozenset("head nav footer aside form button select fieldset menu dialog input label legend optgroup option datalist output progress meter map applet marquee".split())
+APART = frozenset("head nav footer aside button select fieldset menu dialog input label legend optgroup option datalist output progress meter map applet marquee".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What orders text within a container, and so belongs to it.
@@ -44,6 +45,7 @@ WITHOUT = frozenset("has with without no".split())
 OWN = frozenset(["header"])
 MAIN_WORDS = frozenset("article articlebody main maincontent postcontent postbody entrycontent entry storybody".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_ARTICLE = re.compile(r"<(?:article|main)[\s>]", re.I)
 _PUNCTUATION = re.compile("[.,;:!?…。，、；：！？¿¡]")
 
 
@@ -53,44 +55,60 @@ class Block:
     inside: str
     apart: bool
     main: bool
+    doubts: tuple[int, ...]
+    mains: tuple[int, ...]
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _marks(name: str, attributes: str, inside: bool = False) -> tuple[str, bool, bool]:
-    """An element's label in paths, whether its attributes set it apart, and whether they name the article.
+@dataclass
+class Doubt:
+    """An element that only class words, or being a form, set apart: ``words`` as in _marks(); ``holds`` an article or main."""
+
+    words: int
+    holds: bool
+
+
+def _marks(name: str, attributes: str, inside: bool = False) -> tuple[str, bool, int, bool]:
+    """An element's label in paths, whether it is hidden, what its words say, and whether they name the article.
 
-    ``inside`` an article, a header is the article's own, with its title.
+    Words that set it apart are 2 if they are all of a class, id or role, 1 if they are parts of it
+    only. ``inside`` an article, a header is the article's own, with its title.
     """
     if not attributes.strip():
-        return name, False, False
+        return name, False, 0, False
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes) if m[1]}
     bare = {m[5].lower() for m in _ATTRIBUTE.finditer(attributes) if m[5]}
     named = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop"))
-    main = apart = False
+    main, apart = False, 0
+    own = OWN if inside else {"form"} if name == "form" else frozenset()
     for token in named.split():
-        words = {w.lower() for w in _WORDS.findall(token)} | {re.sub("[^a-z]", "", token.lower())}
-        main = main or re.sub("[^a-z]", "", token.lower()) in MAIN_WORDS
-        apart = apart or bool((words - OWN if inside else words) & NOISE_WORDS and not words & WITHOUT)
-    apart = apart and not main
+        whole = re.sub("[^a-z]", "", token.lower())
+        words = {w.lower() for w in _WORDS.findall(token)} | {whole}
+        main = main or whole in MAIN_WORDS
+        noise = (words - own) & NOISE_WORDS
+        if noise and not words & WITHOUT:
+            apart = max(apart, 2 if whole in noise else 1)
     style = re.sub(r"\s", "", found.get("style", "").lower())
-    apart = apart or "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+    hidden = "hidden" in bare or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
     first = found.get("class", "").split()
-    return f"{name}.{first[0].replace('/', '|')}" if first else name, apart, main
+    return f"{name}.{first[0].replace('/', '|')}" if first else name, hidden, 0 if main else apart, main
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, each with its tag path; markup is read forgivingly, as browsers do."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []
-    state = ["", False, False]
+    stack: list[tuple[str, str, bool, bool, int]] = []
+    state = ["", False, False, (), ()]
+    doubts: dict[int, Doubt] = {}
+    opened = 0
     links, raw_until, at = 0, None, 0
     current: Block | None = None
 
     def renew() -> None:
         nonlocal current
-        state[:] = ["/".join(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack)]
+        state[:] = ["/".join(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack), tuple(x[4] for x in stack if x[4] in doubts), tuple(x[4] for x in stack if x[3])]
         current = None
 
     def put(text: str) -> None:
@@ -101,7 +119,7 @@ def blocks_of(page: str) -> list[Block]:
             if not text.strip():
                 return
             container = "/".join(x[1] for x in stack[:-1])
-            current = Block(state[0], container, state[1], state[2])
+            current = Block(state[0], container, *state[1:])
             out.append(current)
         current.parts.append(text)
         if links:
@@ -145,11 +163,12 @@ def blocks_of(page: str) -> list[Block]:
             links = 1
             continue
         if name in INLINE:
-            label, apart, _ = _marks(name, attributes)
-            if not apart:
+            label, hidden, words, _ = _marks(name, attributes)
+            if not hidden and not words:
                 continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else at
+            if end and (hidden or not _ARTICLE.search(page, at, end.start())):
+                at = end.end()
             continue
         if name == "br" or name in VOID and name != "hr":
             put(" ")
@@ -174,22 +193,79 @@ def blocks_of(page: str) -> list[Block]:
             renew()
             continue
         inside = any(x[0] == "article" for x in stack)
-        label, apart, main = _marks(name, attributes, inside)
+        label, apart, words, main = _marks(name, attributes, inside)
         if name == "body":
-            apart = False
+            apart, words = False, 0
         if len(stack) < DEEPEST:
-            stack.append((name, label, apart or name in APART or (name == "header" and not inside), main or name in MAIN))
+            opened += 1
+            if name in MAIN:
+                for x in stack:
+                    if x[4] in doubts:
+                        doubts[x[4]].holds = True
+            if words == 2 or (words and name not in MAIN) or name == "form":
+                doubts[opened] = Doubt(words, name in MAIN)
+            stack.append((name, label, apart or name in APART or (name == "header" and not inside), main or name in MAIN, opened))
         renew()
     put(html.unescape(page[at:]))
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _settle(out, doubts)
+    return out
+
+
+def _settle(blocks: list[Block], doubts: dict[int, Doubt]) -> None:
+    """Set apart the blocks of elements that only words, or being a form, set apart; those that hold the text stay.
+
+    From the outermost in: what is, or has in it, an article or main stays if one of these has more
+    text than any outside such elements, or, with none outside, than all outside. Where no article is
+    outside, a form, or what only parts of classes set apart, stays too if it has more text than all
+    else. Linked text does not count. Parts of classes weigh less than whole ones: they are settled first.
+    """
+    sizes: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = defaultdict(int)
+    for b in blocks:
+        if not b.apart:
+            sizes[b.doubts, b.mains] += max(0, len(b.text) - b.linked)
+    seen: set[int] = set()
+    #: How many doubts, from the outermost, are settled in favour of each group.
+    depth = dict.fromkeys(sizes, 0)
+    last = {k: max((d for d in k[0] if doubts[d].words == 2 and not doubts[d].holds), default=0) for k in sizes}
+    while any(n < len(k[0]) for k, n in depth.items()):
+        outside, whole, inner = (defaultdict(int) for _ in range(3))
+        bare = 0
+        for k, n in depth.items():
+            if n == len(k[0]):
+                bare += sizes[k]
+                if k[1]:
+                    outside[k[1][0]] += sizes[k]
+            elif last[k] <= (outer := k[0][n]):
+                whole[outer] += sizes[k]
+                m = bisect_left(k[1], outer)
+                if m < len(k[1]):
+                    inner[outer, k[1][m]] += sizes[k]
+        most = max(outside.values(), default=0)
+        loose = {d: n for d, n in whole.items() if doubts[d].words < 2 and not doubts[d].holds and not most}
+        beside = sum(loose.values())
+        holders: dict[int, int] = defaultdict(int)
+        for (d, _), n in inner.items():
+            if doubts[d].holds:
+                holders[d] = max(holders[d], n)
+        stays = {d for d, n in holders.items() if doubts[d].words < 2 and n > (most or bare)}
+        stays = stays or {d for d, n in holders.items() if n > (most or bare + beside)}
+        stays = stays or {d for d, n in loose.items() if n > bare + beside - n}
+        if not stays:
+            break
+        seen |= stays
+        for k, n in depth.items():
+            depth[k] = n + (n < len(k[0]) and k[0][n] in stays)
+    for b in blocks:
+        b.apart = b.apart or not seen.issuperset(b.doubts)
 
 
 def content_of(blocks: list[Block]) -> list[str]:
     """Texts of the content blocks.
 
-    What tags, classes, ids or roles set apart is left out, and where an article is marked only it
+    What tags, classes, ids or roles set apart is left out (see _settle()), and where an article is marked only it
     counts. Then text length and punctuation a node are summed up over each tag path, smoothed with
     those of the neighbouring nodes' paths, fused to one score and held against a threshold of the
     page; mostly linked paths score nothing. This decides within a marked article too. Beside chosen

@@ -80,6 +80,31 @@ def test_scan_resumes_after_raw_elements():
     assert main_text(f"<svg><text>a<b c='</text></svg>{rest}<span hidden>i<n 'x</span>") == "It's the text."
 
 
+def test_class_words_do_not_lose_the_article():
+    p = [f"Paragraph {i} of the text, which is long enough, and ends well." for i in range(3)]
+    text = "".join(f"<p>{x}</p>" for x in p)
+    menu = "<nav>Menu</nav><div class=sidebar><p>Other words, here.</p></div>"
+    comments = "<div id=comments class=comments-area><ol class=comment-list><li class=comment><article class=comment-body><p>Nice, I like it.</p></article></ol></div>"
+    pages = [
+        f"<article class='post category-social'>{text}</article>{menu}",
+        f"<article class='post category-legal popular'>{text}</article>{menu}{comments}",
+        f"<div class='layout sidebar-right'>{menu}<article>{text}</article>{comments}</div>",
+        f"<html class=nav-open><div class='page nav-open'>{menu}<div class='layout sidebar-right'>{text}</div></div>",
+        f"<form id=form1 action=./>{menu}<input type=hidden>{text}</form>",
+        f"<form id=aspnetForm class=page>{menu}<main><article>{text}</article></main></form>",
+        f"<div id=x>{text}</div>{comments}<form><p>Name, please.</p></form>",
+        f"<div class='layout sidebar-right'><article>{text}</article></div>{comments}",
+        f"<div class=nav-top><p>Words of a bar.</p></div><div class='page nav-open'>{text}</div>{comments}",
+        f"<span class=page-overlay><article>{text}</article></span>{menu}",
+    ]
+    for page in pages:
+        assert main_text(f"<body>{page}</body>") == "\n\n".join(p), page
+    several = "".join(f"<article class='post {c}'><p>{x}</p></article>" for c, x in zip(("category-news", "category-social", "tag-popular"), p, strict=True))
+    assert main_text(f"<body>{several}</body>") == "\n\n".join(p)
+    assert main_text("<div class=page-nav>" * 400 + "<p class=top-ad>x, y</p>" * 600 + f"<article>{text}</article>") == "\n\n".join(p)
+    assert main_text("<article><p>Text, here and there.</p><div hidden><article><p>Long, hidden text, more than all else.</p></article></div></article>") == "Text, here and there."
+
+
 def test_scores_decide_in_articles():
     text = "".join(f"<p>Paragraph {i} of the text, which is long enough, has commas, and ends well. It goes on, and on; it stops here.</p>" for i in range(4))
     teasers = "<div class=qx><h3>More stories</h3><p>How one won</p><p>Why two lost</p><p>Where three went</p></div>"
