@@ -20,8 +20,12 @@ _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|([^\s=/>"']+)""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object audio video canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label wbr".split())
+#: Browsers read these as raw text to their end tag, or to the end of the page.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Markup that is not the page's text; without an end tag only the start tag is passed over.
+SKIPPED = frozenset("noscript template svg object audio video canvas annotation annotation-xml".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics none".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label wbr".split())
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: An open element of the first kind ends where one of the second begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "option": {"option", "optgroup"}}
@@ -96,6 +100,18 @@ def _marks(name: str, attributes: str, inside: bool = False) -> tuple[str, bool,
     return f"{name}.{first[0].replace('/', '|')}" if first else name, hidden, 0 if main else apart, main
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the elements of a name end, by the end of their start tags; nested ones are paired, those without an end tag left out."""
+    tags = re.compile(rf"<!--.*?(?:--!?>|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|<(/?){re.escape(name)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.I | re.S)
+    out, open_ = {}, []
+    for m in tags.finditer(page):
+        if m[2] == "/" and open_:
+            out[open_.pop()] = m.end()
+        elif m[2] == "" and not m[3].rstrip().endswith("/"):
+            open_.append(m.end())
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, each with its tag path; markup is read forgivingly, as browsers do."""
     out: list[Block] = []
@@ -103,6 +119,7 @@ def blocks_of(page: str) -> list[Block]:
     state = ["", False, False, (), ()]
     doubts: dict[int, Doubt] = {}
     opened = 0
+    ends: dict[str, dict[int, int]] = {}
     links, raw_until, at = 0, None, 0
     current: Block | None = None
 
@@ -159,6 +176,13 @@ def blocks_of(page: str) -> list[Block]:
                 at = end.end() if end else len(page)
             put(" ")
             continue
+        if name in SKIPPED:
+            if not attributes.rstrip().endswith("/"):
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name].get(at, at)
+            put(" ")
+            continue
         if name == "a":
             links = 1
             continue

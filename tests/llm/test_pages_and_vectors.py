@@ -105,6 +105,19 @@ def test_class_words_do_not_lose_the_article():
     assert main_text("<article><p>Text, here and there.</p><div hidden><article><p>Long, hidden text, more than all else.</p></article></div></article>") == "Text, here and there."
 
 
+def test_only_raw_text_runs_to_the_end_of_the_page():
+    text = "<article><p>Text, here and there.</p><p>More of it, too.</p></article>"
+    for name in "noscript template svg object audio video canvas".split():
+        assert main_text(f"<{name} data-x='a>b'>{text}") == "Text, here and there.\n\nMore of it, too.", name
+        assert main_text(f"<{name}><{name}>Not, this.</{name}> Nor this.</{name}>{text}<!-- <{name}> -->") == "Text, here and there.\n\nMore of it, too.", name
+        assert main_text(f"<{name}>{text}<{name}>Not, this.</{name}>") == "Text, here and there.\n\nMore of it, too.", name
+        assert main_text(f"<{name} />{text}<p>") == "Text, here and there.\n\nMore of it, too.", name
+    assert main_text(f"{text}<script>x") == "Text, here and there.\n\nMore of it, too."
+    assert main_text(f"<script>x{text}") == main_text(f"<textarea>{text}") == ""
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x = 2</annotation></semantics></math>"
+    assert main_text(f"<article><p>Let {math}, as before.</p></article>") == "Let x=2 , as before."
+
+
 def test_scores_decide_in_articles():
     text = "".join(f"<p>Paragraph {i} of the text, which is long enough, has commas, and ends well. It goes on, and on; it stops here.</p>" for i in range(4))
     teasers = "<div class=qx><h3>More stories</h3><p>How one won</p><p>Why two lost</p><p>Where three went</p></div>"
