@@ -1,4 +1,4 @@
-"""Suffix-array dedup over sparse suffixes."""
+"""Dedup of long passages by minimiser phrases, in place of a suffix array."""
 
 from __future__ import annotations
 
@@ -39,11 +39,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A stretch is a longest run of words each of which lies in a passage of at least ``words``
     words that also starts at an earlier place: in a document with a smaller doc_id, or further
-    ahead in the same text. The first place of a passage has no row. Method: sparse suffix array.
-    Only suffixes that begin at content-selected minimisers are kept; sorting brings suffixes with
-    the same beginning together in order of place, each is compared with the one that leads its
-    run, matches that continue one another are extended left and right, and the passages at both
-    ends are compared in full with every suffix of the run, so no partner is missed.
+    ahead in the same text. The first place of a passage has no row. Method: a join of minimiser
+    hashes, which replaces the suffix array: no suffixes are sorted and no neighbours compared.
+    Phrases of words // 2 + 1 words at content-selected minimisers are grouped by hash, each is
+    matched with the first place of its group, and matches that touch and keep one distance to one
+    text join. Passages of ``words`` words that this leaves open are hashed in full (128 bits) and
+    grouped, so no partner is missed.
 
     Null, empty and short texts have no rows; a null doc_id takes no part. Rows that repeat a doc_id
     with another text are told apart; rows that repeat both are one document and give equal rows.
