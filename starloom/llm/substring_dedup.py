@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an indexed reference."""
+"""Substring dedup by minimiser phrases, in place of relative Lempel-Ziv parsing."""
 
 from __future__ import annotations
 
@@ -36,10 +36,12 @@ def remove_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text): one row per row of ``docs``.
 
     A word goes if a run of ``window`` words that covers it also starts in a document with a
-    smaller doc_id; runs are judged on the input. Method: relative Lempel-Ziv. The reference index
-    holds the phrases of every document in blocks dealt by phrase; each document is factored
-    greedily against all blocks, factors of ``window`` words or more are duplicate spans, and
-    windows at factor boundaries are checked against every document that holds their phrase.
+    smaller doc_id; runs are judged on the input. Method: a join of minimiser hashes, which replaces
+    relative Lempel-Ziv: no reference blocks are indexed and no greedy longest factor is sought.
+    Each phrase is matched with the first document that has it; matches that touch and keep one
+    distance to one document join, and ``window`` words or more of them are duplicate spans.
+    Windows that this leaves open, as where two neighbouring phrases were first seen in different
+    documents, are hashed in full (128 bits) and grouped.
 
     Null or empty texts have no words. Rows with a null doc_id keep all words and are no reference.
     Rows that share a doc_id are judged each by its own text and never against each other.
