@@ -15,6 +15,8 @@ from starloom.llm._shared import materialize, small, text_slices
 from starloom.llm._words import mix
 
 GRAM = 4
+#: Of texts too long for the usual sample: how much of one is learned from, and until how much a language has, in times ``sample_chars``.
+LONG, FULL = 8, 32
 #: Bytes of an n-gram: A-Z in lower case, other ASCII but letters as a space; bytes beyond ASCII stay.
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
@@ -112,16 +114,23 @@ def _rates(filters: LanguageFilters, texts: list[str]) -> tuple[list[str], list[
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts a language, of at most ``chars`` characters each, chosen by a hash of the id.
+    """At most ``rows`` labelled texts a language, chosen by a hash of the id, so that every labelled language is learned.
 
-    Counts of all labelled rows set the sampling rate, so only about twice the wanted rows are ranked.
+    Texts of at most ``chars`` characters come first. Where a language has fewer than ``rows`` of
+    them, longer ones follow, each by at most its first LONG * ``chars`` characters, until the language
+    has FULL * ``chars``. Counts of all labelled rows set the sampling rates, so only about twice the
+    wanted rows are ranked.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % 4
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold != 2)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"))
-    known = known.where(F.length("text") <= chars)
-    total = materialize(known.groupBy("lang").count())
-    near = known.join(small(total, 64, total.count()), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("count") < F.lit(float(rows * 2 * (1 << 20))))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= rows)
+    known = known.withColumn("long", F.length("text") > chars)
+    total = materialize(known.groupBy("lang").agg(F.count_if(~F.col("long")).alias("n_short"), F.count_if("long").alias("n_long")))
+    place = F.pmod("h", F.lit(1 << 20))
+    chosen = F.when(~F.col("long"), place * F.col("n_short") < F.lit(float(rows * 2 * (1 << 20)))).otherwise((F.col("n_short") < rows) & (place * F.col("n_long") < F.lit(float(FULL * 2 * (1 << 20)))))
+    near = known.join(small(total, 64, total.count()), "lang").where(chosen).withColumn("text", F.when(F.col("long"), F.substring("text", 1, LONG * chars)).otherwise(F.col("text")))
+    order = Window.partitionBy("lang").orderBy("long", "h", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = near.withColumns({"rank": F.row_number().over(order), "before": before}).where((F.col("rank") <= rows) & (~F.col("long") | (F.col("before") < FULL * chars)))
     return [(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()]
 
 
@@ -129,7 +138,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, lang_pred, score: one row per row of ``docs``, from its whole text.
 
     Fits on labelled rows outside the held-out quarter (crc32 of the id's text mod 4 is 2): at most
-    ``sample_rows`` texts of at most ``sample_chars`` characters for each language. Bit-sliced Bloom
+    ``sample_rows`` texts for each language, those of at most ``sample_chars`` characters first and the
+    beginnings of longer ones where these are too few (see training_sample()). Bit-sliced Bloom
     filters give, by one lookup, the languages that hold an n-gram; each language's share of a text's
     n-grams, corrected for its false positives, is its rate. The highest rate names the language (ties:
     the first by code point) and is the score.

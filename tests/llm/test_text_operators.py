@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from starloom.llm import _words as W
 from starloom.llm import packing
 from starloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from starloom.llm.language import identify_languages, keep_identified
+from starloom.llm.language import identify_languages, keep_identified, training_sample
 from starloom.llm.mixing import mix_documents, mixed_corpus
 from starloom.llm.near_dedup import drop_near_duplicates, near_duplicates
 from starloom.llm.substring_dedup import remove_repeated_substrings
@@ -306,6 +306,19 @@ def test_mixing_with_document_weights(spark):
     assert abs(sum(r.taken for r in got.values()) - got[0].target) <= 7
 
 
+def test_languages_with_long_texts_only(spark):
+    words = {"aa": "kalo mira tuse", "bb": "zwig pfron schrut"}
+    rows = [(i, f"{words['aa']} " * 4, "aa") for i in range(40)] + [(100 + i, f"{words['bb']} " * 40, "bb") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_languages(docs, sample_rows=20, sample_chars=100).collect()
+    assert all(r.lang_pred == ("aa" if r.doc_id < 100 else "bb") for r in got)
+    assert {r.lang for r in keep_identified(docs, sample_rows=20, sample_chars=100).select("lang").distinct().collect()} == {"aa", "bb"}
+    one = docs.where("doc_id < 41 or doc_id = 100").selectExpr("doc_id + 1 doc_id", "text", "lang")
+    assert {lang for lang, _ in training_sample(one, "doc_id", "text", "lang", 20, 100)} == {"aa", "bb"}
+    many = training_sample(docs, "doc_id", "text", "lang", 20, 20)
+    assert sum(len(t) for lang, t in many if lang == "bb") <= (32 + 8) * 20 and max(len(t) for _, t in many) <= 8 * 20
+
+
 def test_language(spark):
     rng = random.Random(2)
     kinds = {"aa": "bcdfg", "bb": "pqrst", "cc": "vwxyz"}
