@@ -238,6 +238,11 @@ def category_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "region").where("instr(r_name, ' ') = 0").select("r_regionkey", F.regexp_replace("r_name", "_", " ").alias("plain"), title_of(F.col("r_name")).alias("first_word_title"))
 
 
+@_query("""SELECT r_regionkey, array_to_string(list_transform(string_split(replace(lower(r_name), '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM region""")
+def category_titles_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "region").select("r_regionkey", title_of(F.col("r_name")).alias("title"))
+
+
 _DATES = """WITH b AS (SELECT least((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)) AS lo, greatest((SELECT max(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)) AS hi),
     d AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS full_date FROM b)"""
 

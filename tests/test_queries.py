@@ -36,3 +36,9 @@ def test_query(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test tables")
+def test_titles_of_all_regions(spark):
+    got = {r.title for r in entry.queries()["category_titles_by_word"](spark, DIR).collect()}
+    assert got == {"Africa", "America", "Asia", "Europe", "Middle East"}
