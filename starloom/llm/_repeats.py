@@ -1,18 +1,8 @@
-"""Word windows that repeat across a corpus, found through minimiser phrases instead of all windows.
+"""What the two operators on repeated word runs share: minimiser rows, lists by text, spans and kept words.
 
-A window of ``window`` words holds at least one minimiser of ``phrase`` words, chosen by content
-alone, and neighbouring minimisers overlap or touch (phrase >= window - phrase + 1). So:
-
-1. every text emits its minimisers; rows of one slice of text are combined before the shuffle,
-   so a frequent phrase costs one shuffled row a slice;
-2. each minimiser that has an earlier equal one is matched with it (the *reference*);
-3. along a text, matches that touch and keep one distance to one reference text join to factors,
-   which are equal word for word; windows within a factor are repeats;
-4. windows that cross a factor's boundary and whose own minimiser is matched are hashed in full (128
-   bits), and so are the windows around that minimiser where it has no earlier equal one; equal
-   windows are then grouped.
-
-"Earlier" is a smaller document id, or with ``inside`` also an earlier place in the same text.
+A run of ``window`` words holds at least one minimiser phrase, chosen by content alone, so equal runs
+have it at the same place. A place in a text is ``loc``: 31 bits that tell texts of one doc_id apart, then the
+word's number.
 """
 
 from __future__ import annotations
@@ -21,209 +11,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm._shared import materialize, release, small, text_slices
-from starloom.llm._words import Words, minimisers, phrases, split_words, starts_of_windows
+from starloom.llm._shared import small, text_slices
+from starloom.llm._words import Words, minimisers, split_words
 
-_LOW = 0xFFFFFFFF
+LOW = 0xFFFFFFFF
 
 
-def _places(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def places(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Of each word: its text and its place in that text."""
     text = np.repeat(np.arange(len(words.offsets) - 1), words.counts)
     return text, np.arange(len(text)) - words.offsets[text]
 
 
-def _minimiser_rows(window: int, phrase: int, inside: bool):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("loc", pa.int64()), ("ref_id", pa.int64()), ("ref_loc", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            words = split_words(batch.column("text"))
-            at, keys = minimisers(words, phrase, window - phrase + 1)
-            if not len(at):
-                continue
-            text, place = _places(words)
-            text, place = text[at], place[at]
-            ids = batch.column("doc_id").to_numpy()[text]
-            locs = (batch.column("tag").to_numpy()[text] << 32) | place
-            order = np.lexsort((locs, ids, keys))
-            keys, ids, locs = keys[order], ids[order], locs[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            group, begins = np.cumsum(first) - 1, np.flatnonzero(first)
-            head = begins[group]
-            local = ~first if inside else ids > ids[head]
-            many = np.logical_or.reduceat(local, begins)[group] & ~local
-            refs, ref_locs = ids[head], np.where(many, -1, locs[head])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(locs), pa.array(refs, mask=~local), pa.array(ref_locs, mask=~(local | many))], schema=schema
-            )
-
-    return run
-
-
-def _step(window: int, phrase: int) -> int:
-    """Shift that fits a window's possible places of its phrase into 31 bits."""
-    step = 0
-    while (window - phrase) >> step > 30:
-        step += 1
-    return step
-
-
-def _factors(window: int, phrase: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("span", pa.int64()), ("key", pa.int64()), ("mask", pa.int64())])
-    back, step = np.arange(window - phrase + 1), _step(window, phrase)
-
-    def emit(ids, locs, refs, ref_locs, keys):
-        tags, at = locs >> 32, locs & _LOW
-        same = (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1])
-        joint = same & (refs[1:] == refs[:-1]) & (locs[1:] - locs[:-1] <= phrase) & (locs[1:] - locs[:-1] == ref_locs[1:] - ref_locs[:-1])
-        begin = np.flatnonzero(np.concatenate([[True], ~joint]))
-        end = np.concatenate([begin[1:], [len(ids)]]) - 1
-        lo, hi = at[begin], at[end] + phrase
-        long = hi - lo >= window
-        none = pa.nulls(int(long.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[begin][long]), pa.array(tags[begin][long]), pa.array((lo << 32 | (hi - lo))[long]), none, none], schema=schema)
-        factor = np.repeat(np.arange(len(begin)), end - begin + 1)
-        text = np.concatenate([[0], np.cumsum(~same)])
-        for first in range(0, len(ids), 1 << 14):
-            part = slice(first, first + (1 << 14))
-            # Windows in no factor that hold the phrase; of several phrases the least is the window's own minimiser.
-            starts = at[part, None] - back
-            inner = long[factor[part], None] & (starts >= lo[factor[part], None]) & (starts <= hi[factor[part], None] - window)
-            i, o = np.nonzero((starts >= 0) & ~inner)
-            starts, i = starts[i, o], i + first
-            order = np.lexsort((keys.view(np.uint64)[i], starts, text[i]))
-            i, o, starts = i[order], o[order], starts[order]
-            own = np.concatenate([[True], (starts[1:] != starts[:-1]) | (text[i[1:]] != text[i[:-1]])]) if len(i) else np.zeros(0, bool)
-            masks = np.zeros(len(ids), np.int64)
-            np.bitwise_or.at(masks, i[own], np.int64(1) << (o[own] >> step))
-            open_ = np.flatnonzero(masks)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[open_]), pa.array(tags[open_]), pa.array(at[open_]), pa.array(keys[open_]), pa.array(masks[open_])], schema=schema)
+def tag_of(loc: Column) -> Column:
+    return F.shiftright(loc, 32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("doc_id", "loc", "ref_id", "ref_loc", "key")]
-            columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            if not len(columns[0]):
-                continue
-            ids, tags = columns[0], columns[1] >> 32
-            cut = len(ids) - int(np.argmax(((ids != ids[-1]) | (tags != tags[-1]))[::-1])) if (ids[0], tags[0]) != (ids[-1], tags[-1]) else 0
-            held = [c[cut:] for c in columns]
-            if cut:
-                yield from emit(*[c[:cut] for c in columns])
-        if held is not None and len(held[0]):
-            yield from emit(*held)
 
-    return run
+def tagged_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text, tag: 31 bits that tell texts of one doc_id apart, or 0 throughout if no id repeats; and each text of a known doc_id once."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    repeats = lambda df, *key: not df.where("doc_id is not null").groupBy(*key).count().where("count > 1").isEmpty()
+    if not repeats(rows, "doc_id"):
+        tagged = rows.withColumn("tag", F.lit(0).cast("long"))
+        return tagged, tagged.where("doc_id is not null")
+    tagged = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
+    known = tagged.where("doc_id is not null")
+    return tagged, known.dropDuplicates(["doc_id", "tag"]) if repeats(tagged, "doc_id", "tag") else known
 
 
-def _edge_windows(window: int, phrase: int):
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("loc", pa.int64())])
-    back, step = np.arange(window - phrase + 1), _step(window, phrase)
+def minimiser_rows(known: DataFrame, window: int, phrase: int) -> DataFrame:
+    """key, doc_id, loc: every minimiser phrase of every text."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("loc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             words = split_words(batch.column("text"))
-            lists = batch.column("places")
-            places = lists.flatten().to_numpy()
-            base = np.repeat(words.offsets[:-1], lists.value_lengths().to_numpy())
-            wanted = np.zeros(len(words.hashes), bool)
-            for first in range(0, len(places), 1 << 16):
-                part = places[first : first + (1 << 16)]
-                starts = (part & _LOW)[:, None] - back
-                rows, columns = np.nonzero(((part >> 32)[:, None] >> (back >> step) & 1).astype(bool) & (starts >= 0))
-                wanted[base[first : first + (1 << 16)][rows] + starts[rows, columns]] = True
-            chosen = np.flatnonzero(wanted & starts_of_windows(words.offsets, window))
-            text, place = _places(words)
-            pair = [phrases(words.hashes, window, seed)[chosen].view(np.int64) for seed in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-            locs = (batch.column("tag").to_numpy()[text[chosen]] << 32) | place[chosen]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, pair), pa.array(batch.column("doc_id").to_numpy()[text[chosen]]), pa.array(locs)], schema=schema)
-
-    return run
-
-
-def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlapping and touching spans of each text as one."""
-    for batch in batches:
-        out = []
-        for spans in batch.column("spans"):
-            x = np.sort(spans.values.to_numpy())
-            lo = x >> 32
-            reach = np.maximum.accumulate(lo + (x & _LOW))
-            cut = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
-            begin = lo[cut]
-            out.append((begin << 32) | (reach[np.concatenate([cut[1:] - 1, [len(x) - 1]])] - begin))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "tag", "spans"])
-
-
-def find_repeats(tagged: DataFrame, window: int, phrase: int, inside: bool = False) -> DataFrame:
-    """doc_id, tag, spans: per text that has any, the repeated windows as (start << 32 | words), unordered, overlapping.
-
-    ``tagged`` has doc_id long, tag long (31 bits of a hash of the text) and text. Rows with a null
-    doc_id are neither early nor late: they take no part. Equal rows get equal spans.
-    """
-    if 2 * phrase < window + 1:
-        raise ValueError("neighbouring phrases must touch: 2 * phrase > window")
-    known = tagged.where("doc_id is not null")
-    rows = known.select("doc_id", "tag", "text").mapInArrow(_minimiser_rows(window, phrase, inside), "key long, doc_id long, loc long, ref_id long, ref_loc long")
-    group = Window.partitionBy("key", F.when(F.col("ref_id").isNotNull(), F.col("doc_id")))
-    first = F.min(F.struct("doc_id", "loc")).over(group)
-    several = F.count(F.lit(1)).over(group) > 1 if inside else F.min("doc_id").over(group) < F.max("doc_id").over(group)
-    local = F.col("ref_id").isNotNull()
-    found = rows.withColumns({"first": first, "several": several}).where(local | F.col("several") | F.col("ref_loc").isNotNull())
-    ref_loc = F.when(local, F.col("ref_loc"))
-    found = found.select("key", "doc_id", "loc", F.coalesce("ref_id", "first.doc_id").alias("ref_id"), F.coalesce(ref_loc, "first.loc").alias("ref_loc"))
-    found = materialize(found)
-    del rows
-    release(tagged.sparkSession)
-    late = (F.col("ref_id") < F.col("doc_id")) | (F.lit(inside) & (F.col("ref_id") == F.col("doc_id")) & (F.col("ref_loc") < F.col("loc")))
-    tag_of = F.shiftright("loc", 32)
-    hits = found.where(late).repartition("doc_id", tag_of).sortWithinPartitions("doc_id", "loc")
-    parts = materialize(hits.mapInArrow(_factors(window, phrase), "doc_id long, tag long, span long, key long, mask long"))
-    del hits
-    release(tagged.sparkSession)
-    asked = parts.where("key is not null")
-    keys = materialize(asked.groupBy("key").agg(F.bit_or("mask").alias("mask")))
-    place = lambda at: F.shiftleft("mask", 32).bitwiseOR(at).alias("place")
-    source = found.where(~late).join(keys, "key").select("doc_id", tag_of.alias("tag"), place(F.col("loc").bitwiseAND(F.lit(_LOW))))
-    places = materialize(asked.select("doc_id", "tag", place(F.col("span"))).union(source).groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places")))
-    wide = with_lists(known.select("doc_id", "tag", "text"), places, "places", how="inner")
-    edges = materialize(wide.mapInArrow(_edge_windows(window, phrase), "h1 long, h2 long, doc_id long, loc long"))
-    del wide
-    release(tagged.sparkSession)
-    if inside:
-        best = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "loc")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.col("best.doc_id").alias("b_id"), F.col("best.loc").alias("b_loc"))
-        after = (F.col("b_id") < F.col("doc_id")) | ((F.col("b_id") == F.col("doc_id")) & (F.col("b_loc") < F.col("loc")))
-    else:
-        best = edges.groupBy("h1", "h2").agg(F.min("doc_id").alias("b_id"), F.max("doc_id").alias("last")).where("b_id < last").select("h1", "h2", "b_id")
-        after = F.col("b_id") < F.col("doc_id")
-    singles = edges.join(materialize(best), ["h1", "h2"]).where(after).select("doc_id", tag_of.alias("tag"), F.shiftleft(F.col("loc").bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(F.lit(window)).alias("span"))
-    every = parts.where("key is null").select("doc_id", "tag", "span").union(singles)
-    merged = every.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans")).mapInArrow(_merge_spans, "doc_id long, tag long, spans array<long>")
-    merged = materialize(merged)
-    release(tagged.sparkSession)
-    return merged
-
-
-def tagged_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, tag: 31 bits that tell texts of one doc_id apart, or 0 throughout if no id repeats."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    unique = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return rows.withColumn("tag", F.lit(0).cast("long") if unique else F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
+            at, keys = minimisers(words, phrase, window - phrase + 1)
+            text, place = places(words)
+            text, place = text[at], place[at]
+            locs = (batch.column("tag").to_numpy()[text] << 32) | place
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(batch.column("doc_id").to_numpy()[text]), pa.array(locs)], schema=schema)
 
+    return known.select("doc_id", "tag", "text").mapInArrow(run, "key long, doc_id long, loc long")
 
-def with_lists(tagged: DataFrame, lists: DataFrame, column: str, how: str = "left") -> DataFrame:
+
+def with_lists(tagged: DataFrame, lists: DataFrame, column: str, bytes_each: int = 8, how: str = "left") -> DataFrame:
     """``tagged`` with each text's list; the lists are broadcast only if their measured size allows it."""
     size = lists.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(column)).alias("m")).first()
     renamed = lists.withColumnsRenamed({"doc_id": "l_id", "tag": "l_tag"})
-    named = small(renamed, 8, 4 * size["n"] + (size["m"] or 0))
+    named = small(renamed, 1, 32 * size["n"] + bytes_each * (size["m"] or 0))
     return tagged.join(named, (F.col("doc_id") == F.col("l_id")) & (F.col("tag") == F.col("l_tag")), how).drop("l_id", "l_tag")
 
 
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """doc_id, tag, spans: of rows (doc_id, tag, start, length), the spans of each text as (start << 32 | words), those that touch as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("spans")
+            x, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((x, row))
+            x, row = x[order], row[order]
+            # Rows lie far apart on one axis, so that one running maximum serves all of them.
+            lo = (x >> 32) + (row << 33)
+            reach = np.maximum.accumulate(lo + (x & LOW)) if len(x) else lo
+            first = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]])) if len(x) else np.zeros(0, np.int64)
+            last = np.concatenate([first[1:], [len(x)]]).astype(np.int64)[: len(first)] - 1
+            out = ((x[first] >> 32) << 32) | (reach[last] - lo[first])
+            at = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(sizes)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.ListArray.from_arrays(pa.array(at), pa.array(out))], names=["doc_id", "tag", "spans"])
+
+    packed = spans.select("doc_id", "tag", F.shiftleft("start", 32).bitwiseOR(F.col("length")).alias("span"))
+    return packed.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans")).mapInArrow(run, "doc_id long, tag long, spans array<long>")
+
+
 def covered(words: Words, lists: pa.ListArray) -> np.ndarray:
     """For each word, whether some span of its text covers it."""
     spans = lists.flatten().to_numpy()
@@ -231,7 +96,7 @@ def covered(words: Words, lists: pa.ListArray) -> np.ndarray:
     marks = np.zeros(len(words.starts) + 1, np.int32)
     lo = base + (spans >> 32)
     np.add.at(marks, lo, 1)
-    np.add.at(marks, lo + (spans & _LOW), -1)
+    np.add.at(marks, lo + (spans & LOW), -1)
     return np.cumsum(marks)[:-1] > 0
 
 

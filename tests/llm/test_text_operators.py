@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from starloom.llm import _words as W
@@ -92,27 +93,32 @@ def test_hashes_do_not_depend_on_place():
     assert (W.split_words(pa.array([long])).hashes == W.split_words(pa.array(["x y", long])).hashes[2:]).all()
 
 
+def tag_of(text):
+    """The order of texts that share an id: the low 31 bits of Spark's xxHash64."""
+    return xxhash.xxh64_intdigest((text or "").encode(), seed=42) & 0x7FFFFFFF
+
+
 def repeated_words(rows, window, inside):
     first = {}
-    keyed = sorted({(i, zlib.crc32((t or "").encode()), t) for i, t, *_ in rows if i is not None}, key=lambda x: (x[0], x[1]))
-    for i, _, text in keyed:
-        own = words_of(text)
+    for i, text in sorted({(i, t or "") for i, t, *_ in rows if i is not None}):
+        own, tag = words_of(text), tag_of(text)
         for s in range(len(own) - window + 1):
             key = tuple(own[s : s + window])
-            first[key] = min(first.get(key, (i, s)), (i, s))
+            first[key] = min(first.get(key, (i, tag, s)), (i, tag, s))
+
     def gone(i, text):
-        own, out = words_of(text), set()
+        own, out, tag = words_of(text), set(), tag_of(text)
         if i is not None:
             for s in range(len(own) - window + 1):
                 at = first[tuple(own[s : s + window])]
-                if at[0] < i or (inside and at < (i, s)):
+                if at[0] < i or (inside and at < (i, tag, s)):
                     out |= set(range(s, s + window))
         return own, out
     return gone
 
 
-@pytest.mark.parametrize("window", [13, 6])
-def test_substring_dedup(docs, window):
+@pytest.mark.parametrize(("window", "small_tasks"), [(13, 0), (6, 0), (13, 3)], indirect=["small_tasks"])
+def test_substring_dedup(docs, window, small_tasks):
     gone = repeated_words(corpus(), window, False)
     expected = Counter()
     for i, text, *_ in corpus():
@@ -122,21 +128,58 @@ def test_substring_dedup(docs, window):
     assert rows_of(remove_repeated_substrings(docs, window=window, with_text=True)) == expected
 
 
-def test_suffix_dedup(spark):
-    rows = [r for r in corpus() if r[0] != 20]
-    docs = spark.createDataFrame(rows, COLUMNS).repartition(2)
-    for window in (20, 12):
-        gone = repeated_words(rows, window, True)
-        spans, texts = Counter(), Counter()
-        for i, text, *_ in rows:
-            own, out = gone(i, text)
-            texts[i, " ".join(w for k, w in enumerate(own) if k not in out)] += 1
-            for s in sorted(out):
-                if s - 1 not in out:
-                    n = next(k for k in range(1, len(own) + 2) if s + k not in out)
-                    spans[i, s, n, len(own)] += 1
-        assert rows_of(repeated_passages(docs, words=window)) == spans
-        assert rows_of(remove_repeated_passages(docs, words=window)) == texts
+@pytest.fixture
+def small_tasks(request, monkeypatch):
+    """Limits so low that phrases and blocks are dealt to several tasks, and texts to several pieces."""
+    from starloom.llm import substring_dedup, suffix_dedup
+
+    if request.param:
+        for module, names in ((suffix_dedup, ("PHRASE_ROWS", "TASK_ROWS")), (substring_dedup, ("TASK_PHRASES", "PIECE_WORDS", "INDEX_WORDS"))):
+            for name in names:
+                monkeypatch.setattr(module, name, request.param)
+
+
+@pytest.mark.parametrize(("window", "small_tasks"), [(20, 0), (12, 0), (20, 3)], indirect=["small_tasks"])
+def test_suffix_dedup(docs, window, small_tasks):
+    rows = corpus()
+    gone = repeated_words(rows, window, True)
+    spans, texts = Counter(), Counter()
+    for i, text, *_ in rows:
+        own, out = gone(i, text)
+        texts[i, " ".join(w for k, w in enumerate(own) if k not in out)] += 1
+        for s in sorted(out):
+            if s - 1 not in out:
+                n = next(k for k in range(1, len(own) + 2) if s + k not in out)
+                spans[i, s, n, len(own)] += 1
+    assert rows_of(repeated_passages(docs, words=window)) == spans
+    assert rows_of(remove_repeated_passages(docs, words=window)) == texts
+
+
+def test_suffix_array_at_random():
+    """Chains break where phrases do not touch, and reach as far as asked."""
+    from starloom.llm.suffix_dedup import chains
+
+    keys, gaps, joint = np.arange(1, 7, dtype=np.uint64), np.array([3, 3, 9, 3, 3]), np.array([True, True, False, True, True])
+    h, far = chains(keys, gaps, joint, 6)
+    assert far.tolist() == [True, False, False, True, False, False] and h[0] != h[3]
+
+
+def test_index_finds_the_longest_factor():
+    from starloom.llm.substring_dedup import Index, greedy_factors
+
+    rng = np.random.default_rng(2)
+    for top in (2, 4, 30):
+        known, asked = rng.integers(0, top, 60), rng.integers(0, top, 50)
+        tokens = np.concatenate([known, [1000], asked, [1001]])
+        marks = np.arange(len(tokens)) < 60
+        got = Index(tokens, 61).longest(np.arange(61, 111), marks)
+        text = lambda x: "".join(chr(65 + v) for v in x)
+        best = [max(n for n in range(51 - i) if text(asked[i : i + n]) in text(known)) for i in range(50)]
+        assert got.tolist() == best
+        at = 0
+        for s, n in greedy_factors(got, 0, 50, 1):
+            assert s >= at and n == best[s]
+            at = s + n
 
 
 def shingles(text, length):
