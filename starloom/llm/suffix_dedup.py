@@ -51,7 +51,7 @@ def chains(keys: np.ndarray, gaps: np.ndarray, joint: np.ndarray, reach: int) ->
 
 
 def _chained(phrase: int, reach: int):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("loc", pa.int64()), ("right", pa.int64()), ("left", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("loc", pa.int64()), ("right", pa.int64()), ("left", pa.int64()), ("late", pa.bool_())])
 
     def emit(keys: np.ndarray, ids: np.ndarray, locs: np.ndarray) -> pa.RecordBatch:
         names = keys.view(np.uint64)
@@ -61,7 +61,11 @@ def _chained(phrase: int, reach: int):
         left, back = chains(names[::-1], gaps[::-1], joint[::-1], reach)
         own = mix(ids.astype(np.uint64) * _CHAIN ^ mix(locs.astype(np.uint64)))
         right, left = np.where(far, right, own), np.where(back[::-1], left[::-1], mix(own ^ _LEFT))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(locs), pa.array(right.view(np.int64)), pa.array(left.view(np.int64))], schema=schema)
+        # What agrees with an earlier one of these rows is settled here, so that a frequent suffix costs one row a batch.
+        order = np.lexsort((locs, ids, left, right, names))
+        late = np.zeros(len(keys), bool)
+        late[order[1:]] = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (names, right, left)])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(locs), pa.array(right.view(np.int64)), pa.array(left.view(np.int64)), pa.array(late)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -206,12 +210,15 @@ def find_repeats(known: DataFrame, window: int, phrase: int) -> DataFrame:
     release(spark)
     found = rows.join(small(often, 16, often.count()), "key", "left_semi")
     found = found.repartition("doc_id", tag_of(F.col("loc"))).sortWithinPartitions("doc_id", "loc")
-    ordered = found.mapInArrow(_chained(phrase, reach), "key long, doc_id long, loc long, right long, left long")
+    ordered = found.mapInArrow(_chained(phrase, reach), "key long, doc_id long, loc long, right long, left long, late boolean")
+    ordered = materialize(ordered)
+    release(spark)
+    late = ordered.where("late").select("doc_id", "loc")
     nth = F.row_number().over(Window.partitionBy("key", "right", "left").orderBy("doc_id", "loc"))
-    ordered = materialize(ordered.withColumn("first", nth == 1).drop("right", "left"))
+    ordered = materialize(ordered.where("not late").withColumn("first", nth == 1).select("key", "doc_id", "loc", "first"))
     release(spark)
     every = F.lit((1 << (reach + 1)) - 1)
-    late = ordered.where("not first").select("doc_id", "loc", every.alias("mask"))
+    late = late.union(ordered.where("not first").select("doc_id", "loc")).withColumn("mask", every)
     open_ = materialize(ordered.where("first").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / PHRASE_ROWS).cast("int")
     wanted = ordered.where("first").join(small(open_, 24, open_.count()), "key").select("doc_id", tag_of(F.col("loc")).alias("tag"), F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), "key", F.pmod(F.xxhash64("doc_id", "loc"), parts).cast("int").alias("part"), parts.alias("parts"))
