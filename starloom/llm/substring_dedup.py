@@ -27,11 +27,11 @@ from starloom.llm._words import mix, phrases, split_words
 
 #: Bits of an id within its block; requested phrases that one task compares with a block's references at most; words of a
 #: piece of text, of which longer ones are cut, overlapping; and words that one index holds, if pieces allow.
-BLOCK_BITS, TASK_PHRASES, PIECE_WORDS, INDEX_WORDS = 4, 40_000, 1 << 16, 1 << 18
+BLOCK_BITS, TASK_PHRASES, PIECE_WORDS, INDEX_WORDS = 4, 1 << 13, 1 << 16, 1 << 18
 _SEEDS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def _pieces(window: int, phrase: int):
+def _pieces(window: int, phrase: int, piece_words: int):
     """Reference and requested stretches of words around the listed phrases, one row each."""
     schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("asks", pa.bool_()), ("start", pa.int64()), ("words", pa.binary()), ("places", pa.binary())])
     margin = window - phrase
@@ -52,10 +52,10 @@ def _pieces(window: int, phrase: int):
             if not len(place):
                 continue
             apart = (text[1:] != text[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1]) | (lo[1:] > hi[:-1])
-            # Pieces end after PIECE_WORDS at the next phrase; phrases have their whole surroundings in their piece.
+            # Pieces end after piece_words at the next phrase; phrases have their whole surroundings in their piece.
             group = np.concatenate([[0], np.cumsum(apart)])
             begins = np.flatnonzero(np.concatenate([[True], apart]))
-            within = (lo - lo[begins][group]) // PIECE_WORDS
+            within = (lo - lo[begins][group]) // piece_words
             cut = np.concatenate([[True], apart | (within[1:] != within[:-1])])
             first = np.flatnonzero(cut)
             last = np.concatenate([first[1:], [len(place)]]) - 1
@@ -126,7 +126,7 @@ def greedy_factors(length: np.ndarray, begin: int, end: int, least: int) -> list
     return out
 
 
-def _factored(window: int, phrase: int):
+def _factored(window: int, phrase: int, index_words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def solved(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,7 @@ def _factored(window: int, phrase: int):
                     if not asked:
                         total -= sum(len(r["words"]) // 8 for r in held[begin:])
                         del held[begin:]
-                    if total >= INDEX_WORDS:
+                    if total >= index_words:
                         yield from solved(held)
                         held, total = [], 0
                     key, number, asked, begin = (row["block"], row["part"]), number + 1, False, len(held)
@@ -220,7 +220,7 @@ def find_repeats(known: DataFrame, window: int, phrase: int) -> DataFrame:
     rows = minimiser_rows(known, window, phrase)
     firsts = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref < last").select("key", "ref"))
     release(spark)
-    found = rows.join(small(firsts, 24, firsts.count()), "key").select("doc_id", tag_of(F.col("loc")).alias("tag"), F.col("loc").bitwiseAND(F.lit(LOW)).alias("place"), "ref")
+    found = rows.join(firsts, "key").select("doc_id", tag_of(F.col("loc")).alias("tag"), F.col("loc").bitwiseAND(F.lit(LOW)).alias("place"), "ref")
     lists = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "ref")).alias("hits"))
     lists = materialize(lists)
     release(spark)
@@ -237,10 +237,12 @@ def _spans(known: DataFrame, lists: DataFrame, loads: DataFrame, window: int, ph
         lists = materialize(hits)
     else:
         lists = lists.withColumn("hits", F.transform("hits", lambda h: F.struct(h["place"].alias("place"), h["ref"].alias("ref"), F.lit(1).alias("parts"))))
-    wide = with_lists(known, lists, "hits", 24, "inner").select("doc_id", "tag", "text", "hits")
-    pieces = wide.mapInArrow(_pieces(window, phrase), "block long, part int, doc_id long, tag long, asks boolean, start long, words binary, places binary")
+    # Lists of hits grow with the texts, so both are dealt by document at every size.
+    listed = lists.withColumnsRenamed({"doc_id": "l_id", "tag": "l_tag"})
+    wide = known.join(listed, (F.col("doc_id") == F.col("l_id")) & (F.col("tag") == F.col("l_tag"))).select("doc_id", "tag", "text", "hits")
+    pieces = wide.mapInArrow(_pieces(window, phrase, PIECE_WORDS), "block long, part int, doc_id long, tag long, asks boolean, start long, words binary, places binary")
     dealt = pieces.repartition("block", "part").sortWithinPartitions("block", "part")
-    parsed = materialize(dealt.mapInArrow(_factored(window, phrase), "doc_id long, tag long, start long, length long, h1 long, h2 long"))
+    parsed = materialize(dealt.mapInArrow(_factored(window, phrase, INDEX_WORDS), "doc_id long, tag long, start long, length long, h1 long, h2 long"))
     release(spark)
     open_ = parsed.where("h1 is not null")
     best = materialize(open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last"))
