@@ -8,10 +8,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm._shared import fresh, materialize, small, text_slices
+from starloom.llm._shared import fresh, materialize, release, small, text_slices
 from starloom.llm._words import Words, mix, phrases, split_words, starts_of_windows
 from starloom.llm.components import components
 
@@ -22,10 +22,8 @@ LONGS = HASHES * BITS // 64
 _ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _ADD = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
 _EVEN_BITS = 0x5555555555555555
-#: Of larger clusters: members of a tile, and turns in which members name their best partners before all pairs left are compared.
-TILE, BEST_TURNS = 2048, 2
-#: Members and shingles of a cluster that one task resolves at most; larger clusters take the tiles.
-NEAR_BY = (4096, 4 << 20)
+#: Members, and their shingles, on either side of a tile; columns of a product of shingle sets.
+TILE, TILE_SHINGLES, COLUMNS = 256, 1 << 20, 4096
 
 
 def shingle_sets(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,19 +42,20 @@ def shingle_sets(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("packed", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("sum_1", pa.int64()), ("sum_2", pa.int64()), ("packed", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             h, at = shingle_sets(split_words(batch.column("text"), lower=True), length)
             n = batch.num_rows
-            sizes, classes = np.zeros(n, np.int64), np.zeros(n, np.uint64)
+            sizes, sums = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
             low = np.zeros((n, HASHES), np.uint32)
             for i in range(n):
                 own = np.sort(h[at[i] : at[i + 1]])
                 if len(own):
                     own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-                    sizes[i], classes[i] = len(own), np.add.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D)))
+                    sizes[i] = len(own)
+                    sums[:, i] = [np.add.reduce(mix(own ^ np.uint64(seed))) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
             full = np.flatnonzero(sizes)
             for begin in range(0, len(full), 256):
                 part = full[begin : begin + 256]
@@ -71,7 +70,7 @@ def _signatures(length: int):
             lanes = (low & np.uint32(3)).astype(np.uint64).reshape(n, LONGS, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(BITS))
             packed = np.bitwise_or.reduce(lanes, axis=2)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).view(np.int64).ravel())) for m in (packed, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(sizes), pa.array(classes.view(np.int64)), *lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(sizes), *[pa.array(x.view(np.int64)) for x in sums], *lists], schema=schema)
 
     return run
 
@@ -121,85 +120,75 @@ def _groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iter
 
 
 def _resolve(length: int, percent: int, least: float):
+    """Links between components within a tile: estimates first, then what they leave on full sets, all at once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ("cls", "root", "asks", "answers", "main")
 
     def links(table: pa.Table) -> list[tuple[int, int]]:
-        cls, root = (table.column(c).to_numpy() for c in ("cls", "root"))
-        _, part = np.unique(root, return_inverse=True)
+        cls, root, asks, answers, main = (table.column(c).to_numpy() for c in names)
         packed = table.column("packed").combine_chunks().flatten().to_numpy().reshape(len(cls), -1).view(np.uint64)
-        owner = list(range(part.max() + 1))
-
-        def find(x: int) -> int:
-            while owner[x] != x:
-                owner[x] = owner[owner[x]]
-                x = owner[x]
-            return x
-
+        x, y = np.flatnonzero(asks), np.flatnonzero(answers)
+        # Of two that ask, the one with the smaller class does; components are apart until a link joins them.
+        pairs = (root[x][:, None] != root[y]) & (main[y] | (cls[x][:, None] < cls[y]))
+        pairs &= estimates(packed[x], packed[y]) >= least
+        x, pairs = x[keep := pairs.any(axis=1)], pairs[keep]
+        y, pairs = y[keep := pairs.any(axis=0)], pairs[:, keep]
+        if not len(x):
+            return []
         h, at = shingle_sets(split_words(table.column("text").combine_chunks(), lower=True), length)
-        sets: dict[int, np.ndarray] = {}
-        rows, columns, values = [], [], []
-        for begin in range(0, len(cls), 256):
-            near = estimates(packed[begin : begin + 256], packed)
-            i, j = np.nonzero((near >= least) & (part[begin : begin + 256, None] < part))
-            rows.append((i + begin).astype(np.int32))
-            columns.append(j.astype(np.int32))
-            values.append(near[i, j].astype(np.float32))
-        rows, columns, values = (np.concatenate(x) for x in (rows, columns, values))
-        order = np.argsort(-values, kind="stable")
+        left, right = ([np.unique(h[at[i] : at[i + 1]]) for i in side] for side in (x, y))
+        both = shared(left, right)
+        union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - both
+        i, j = np.nonzero(pairs & (100 * both >= percent * union))
+        owner: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while (up := owner.get(r, r)) != r:
+                owner[r] = owner.get(up, up)
+                r = up
+            return r
+
         out = []
-        for i, j in zip(rows[order].tolist(), columns[order].tolist(), strict=True):
-            p, q = find(int(part[i])), find(int(part[j]))
-            if p == q:
-                continue
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = np.unique(h[at[k] : at[k + 1]])
-            if near_enough(sets[i], sets[j], percent):
+        _, first = np.unique(np.stack([root[x[i]], root[y[j]]]), axis=1, return_index=True)
+        for a, b in zip(x[i[first]].tolist(), y[j[first]].tolist(), strict=True):
+            p, q = find(int(root[a])), find(int(root[b]))
+            if p != q:
                 owner[max(p, q)] = min(p, q)
-                out.append((int(cls[i]), int(cls[j])))
+                out.append((int(cls[a]), int(cls[b])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups_of(batches, ("cluster",)):
+        for table in _groups_of(batches, ("cluster", "p", "q")):
             if found := links(table):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
 
     return run
 
 
-def _tile_pairs(every: bool, least: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
-    names = ("cls", "root", "nth", "left", "right")
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cls, root, nth, left, right = (table.column(c).to_numpy() for c in names)
-        packed, bands = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(cls), -1) for c in ("packed", "bands"))
-        packed, rows, columns = packed.view(np.uint64), np.flatnonzero(left), np.flatnonzero(right)
-        for begin in range(0, len(rows), 256):
-            own = rows[begin : begin + 256]
-            near = estimates(packed[own], packed[columns])
-            near[root[own][:, None] == root[columns]] = -1
-            if every:
-                i, j = np.nonzero(near >= least)
-                x, y = own[i], columns[j]
-                once = (cls[x] < cls[y]) | ~(left[y] & right[x])
-                i, j, x, y = i[once], j[once], x[once], y[once]
-                earlier = np.arange(bands.shape[1]) < nth[x][:, None]
-                fresh_ = ~((bands[x] == bands[y]) & earlier).any(axis=1)
-                i, j, x, y = i[fresh_], j[fresh_], x[fresh_], y[fresh_]
-            else:
-                j = near.argmax(axis=1)
-                i = np.flatnonzero(near[np.arange(len(own)), j] >= least)
-                j = j[i]
-                x, y = own[i], columns[j]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[x]), pa.array(cls[y]), pa.array(near[i, j])], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups_of(batches, ("band", "p", "q")):
-            yield from pairs(table)
-
-    return run
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all ``left`` with all ``right`` sets: products of 0/1 matrices, some columns at a time."""
+    sides = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        sides.append((np.concatenate(sets), row))
+    common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.int64)
+    placed = []
+    for values, row in sides:
+        column = np.searchsorted(common, values)
+        inside = column < len(common)
+        inside[inside] = common[column[inside]] == values[inside]
+        order = np.argsort(column[inside], kind="stable")
+        placed.append((column[inside][order], row[inside][order]))
+    for begin in range(0, len(common), COLUMNS):
+        dense = []
+        for (column, row), n in zip(placed, (len(left), len(right)), strict=True):
+            lo, hi = np.searchsorted(column, [begin, begin + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(common) - begin)), np.float32)
+            m[row[lo:hi], column[lo:hi] - begin] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
 def near_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -234,22 +223,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their sets of
     ``length``-word shingles (A-Z lower-cased), and component_id is the smallest doc_id that
-    links reach. Method: b-bit MinHash. Copies with the same set form one class; classes
-    meet in 64 bands of 8 minima (a pair at 0.8 escapes all bands with a probability of 8e-6, at
-    0.85 of 2e-9); the estimate from packed 2-bit minima drops pairs five deviations below the
-    threshold; what remains is confirmed on full sets. First each class is compared with the
-    one bucket centre that it meets most often. Then only buckets matter whose members components
-    still hold apart. Chains of such buckets form clusters: one of bounded size is resolved by one
-    task, likeliest pairs first, skipping what is joined meanwhile; larger ones go through tiles of
-    buckets, in which members name their likeliest partner for a few turns and all pairs still apart
-    at last. So a large group costs few comparisons a member, and no link between components is
-    lost.
-
-    Null or empty texts, or ones without words, have no shingles and stand alone. Rows that
-    repeat a doc_id are judged by their own texts; ``kept`` is doc_id = component_id, so
+    links reach. Method: b-bit MinHash. Copies with the same set (two 64-bit sums and the size agree)
+    form one class; classes meet in 64 bands of 8 minima (a pair at 0.8 escapes all bands with a
+    probability of 8e-6, at 0.85 of 2e-9); the estimate from packed 2-bit minima drops pairs five
+    deviations below the threshold; what remains is confirmed on full sets. First each class is compared
+    with the one bucket centre that it meets most often. Then only buckets matter whose members
+    components still hold apart. Chains of such buckets form clusters, and clusters of any size are cut to
+    tiles: TILE members that are not in the cluster's largest component against TILE of all. A
+    tile's task estimates its pairs, confirms what is left and names no more links than join its components.
+    So no link between components is lost, members of the largest component are never compared among
+    themselves, and no task holds more than a tile.
+
+    Null or empty texts, or ones without words, have no shingles and stand alone; very long ones are read
+    whole. Rows that repeat a doc_id are judged by their own texts; ``kept`` is doc_id = component_id, so
     they share that verdict if in one component. A null doc_id is never kept in a component with
     other ids, and its component_id is null where it stands alone (kept is then true). Other
-    columns are not read. No rows give no rows.
+    columns are not read, whatever their names. No rows give no rows.
     """
     return _judged(docs, id_col, text_col, length, percent).drop("tag")
 
@@ -258,90 +247,62 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, percent: i
     """near_duplicates() with the hash of each row's text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tagged = rows.withColumn("tag", F.xxhash64("text"))
-    signed = materialize(tagged.mapInArrow(_signatures(length), "doc_id long, tag long, n_shingles long, cls long, packed array<long>, bands array<long>"))
-    classes = materialize(signed.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "packed", "bands")).alias("first")).select("cls", "first.*"))
+    signed = materialize(tagged.mapInArrow(_signatures(length), "doc_id long, tag long, n_shingles long, sum_1 long, sum_2 long, packed array<long>, bands array<long>"))
+    same = ["sum_1", "sum_2", "n_shingles"]
+    classes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "packed", "bands")).alias("first"))
+    classes = materialize(classes.select(*same, "first.*", F.monotonically_increasing_id().alias("cls")))
+    placed = classes.select("cls", F.explode("bands").alias("band"))
+    # Buckets are counted with partial sums, and only members of those that hold several are looked at again.
+    heads = materialize(placed.groupBy("band").agg(F.min("cls").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    release(docs.sparkSession)
+    met = materialize(placed.join(small(heads, 24, heads.count()), "band"))
+    stars = met.where("a <> cls").groupBy("cls").agg(F.mode("a", True).alias("a")).select("a", F.col("cls").alias("b"))
     sign = lambda name, side: classes.select(F.col("cls").alias(name), *[F.col("packed")[i].alias(f"{side}{i}") for i in range(LONGS)])
     left, right = ([F.col(f"{side}{i}") for i in range(LONGS)] for side in "xy")
     near = estimated(left, right) >= F.lit(least_estimate(percent / 100))
-
-    centred = classes.select("cls", F.explode("bands").alias("band")).withColumn("a", F.min("cls").over(Window.partitionBy("band"))).where("a <> cls")
-    stars = materialize(centred.groupBy("cls").agg(F.mode("a", True).alias("a")).select("a", F.col("cls").alias("b")))
     stars = materialize(stars.join(sign("a", "x"), "a").join(sign("b", "y"), "b").where(near).select("a", "b"))
     links = _linked(stars, classes, tagged, length, percent)
     roots = components(links)
-    mixed = _mixed(classes, roots)
-    groups = materialize(_groups(mixed, signed))
-    local = groups.where("near_by").select("cls", "root", "cluster")
-    more = _linked_near_by(local, classes, tagged, length, percent)
+    more = _linked_apart(_clusters(met, roots), classes, tagged, length, percent)
     if not more.isEmpty():
-        links = links.union(more)
-        roots = components(links)
-    wide = groups.where("not near_by").select("cls")
-    tested, turn = stars, BEST_TURNS + 1 if wide.isEmpty() else 0
-    while turn <= BEST_TURNS:
-        every = turn == BEST_TURNS
-        pairs = _apart(_mixed(classes.join(wide, "cls", "left_semi"), roots), classes, turn, every, percent)
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        more = None if pairs.isEmpty() else _linked(pairs, classes, tagged, length, percent)
-        joined = more is not None and not more.isEmpty()
-        if joined:
-            links = links.union(more)
-            roots = components(links)
-        if every:
-            break
-        tested, turn = tested.union(pairs), turn + 1 if joined else BEST_TURNS
-    owner = signed.select("doc_id", "tag", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = classes.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("doc_id").alias("least"))
+        roots = components(links.union(more))
+    roots = roots.withColumnRenamed("node", "cls")
+    rooted = materialize(classes.select(*same, "cls", "doc_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).select(*same, "root", "doc_id"))
+    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
+    owner = rooted.select(*[F.col(c).alias(f"c_{c}") for c in same], "root").join(ids, "root").drop("root")
+    joined = signed.select("doc_id", "tag", *same).join(owner, [F.col(c) == F.col(f"c_{c}") for c in same], "left")
     alone = F.col("n_shingles") == 0
-    return owner.join(materialize(ids), "root", "left").select("doc_id", "tag", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _mixed(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, nth, cls, root, n: members of the buckets in which ``roots`` hold some apart, and the bucket's size."""
-    bucket = Window.partitionBy("band")
-    placed = classes.select("cls", "bands").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), F.posexplode("bands").alias("nth", "band"))
-    mixed = placed.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high")
-    return materialize(mixed.withColumn("n", F.count(F.lit(1)).over(bucket)).drop("high"))
-
-
-def _groups(mixed: DataFrame, signed: DataFrame) -> DataFrame:
-    """cls, root, cluster, near_by: classes that chains of mixed buckets join, and whether one task holds them all."""
-    chains = components(mixed.select(F.col("low").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
-    members = mixed.select("cls", "root").distinct().join(chains.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root")
-    sizes = signed.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("shingles"))
-    weighed = materialize(members.join(sizes, "cls"))
-    fits = weighed.groupBy("cluster").agg(((F.count(F.lit(1)) <= NEAR_BY[0]) & (F.sum("shingles") <= NEAR_BY[1])).alias("near_by"))
-    return weighed.join(materialize(fits), "cluster").select("cls", "root", "cluster", "near_by")
-
-
-def _linked_near_by(members: DataFrame, classes: DataFrame, tagged: DataFrame, length: int, percent: int) -> DataFrame:
-    """Links (a, b) that join what is apart within clusters of bounded size: whole texts, one cluster at a time."""
+    return joined.select("doc_id", "tag", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _clusters(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """cls, root, cluster: members of the buckets in which ``roots`` hold some apart, and the chain of such buckets that they belong to."""
+    placed = materialize(met.select("cls", "band").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "band", F.coalesce("root", "cls").alias("root")))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "low")
+    apart = materialize(placed.join(mixed, "band").select("cls", "root", "low").distinct())
+    chains = components(apart.select(F.col("low").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    return materialize(apart.select("cls", "root").distinct().join(chains.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"))
+
+
+def _linked_apart(members: DataFrame, classes: DataFrame, tagged: DataFrame, length: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is apart within clusters, tile by tile."""
+    weighed = materialize(members.join(classes.select("cls", F.col("n_shingles").alias("shingles")), "cls"))
+    sizes = weighed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("shingles"))
+    parts = lambda n, s: F.greatest(F.ceil(n / TILE), F.ceil(s / TILE_SHINGLES))
+    largest = F.max(F.struct("n", "shingles", F.col("root").alias("of")))
+    plan = sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), largest.alias("main"))
+    plan = plan.select("cluster", F.col("main.of").alias("main_root"), parts(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("ps"), parts(F.col("n"), F.col("shingles")).alias("qs"))
+    dealt = weighed.join(plan, "cluster").withColumn("main", F.col("root") == F.col("main_root"))
+    own_p, own_q = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("ps")), F.pmod(F.xxhash64("cls", F.lit(2)), F.col("qs"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    asking = dealt.where(~F.col("main")).select("cluster", "cls", "root", "main", own_p.alias("p"), F.explode(upto("qs")).alias("q"), F.lit(True).alias("asks"), F.lit(False).alias("answers"))
+    answering = dealt.select("cluster", "cls", "root", "main", F.explode(upto("ps")).alias("p"), own_q.alias("q"), F.lit(False).alias("asks"), F.lit(True).alias("answers"))
+    tiles = asking.union(answering).groupBy("cluster", "p", "q", "cls", "root", "main").agg(F.bool_or("asks").alias("asks"), F.bool_or("answers").alias("answers"))
     texts = _texts(members.select("cls"), classes, tagged)
-    rows = members.join(classes.select("cls", "packed"), "cls").join(texts, "cls")
-    rows = rows.repartition("cluster").sortWithinPartitions("cluster", "cls")
-    return materialize(rows.select("cluster", "cls", "root", "packed", "text").mapInArrow(_resolve(length, percent, least_estimate(percent / 100)), "a long, b long"))
-
-
-def _apart(mixed: DataFrame, classes: DataFrame, turn: int, every: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) of one mixed bucket that are apart and whose estimate is near enough, for clusters of any size.
-
-    Buckets are cut to tiles of about TILE members, dealt anew each ``turn``. Then each member
-    names its best partner in its tile; or with ``every``, tiles of all pairs of parts of a bucket
-    name each such pair, once, in the first band that it shares.
-    """
-    mixed = mixed.withColumn("parts", F.ceil(F.col("n") / TILE))
-    part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("parts"))
-    if every:
-        dealt = mixed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other"), "left": F.col("part") <= F.col("other"), "right": F.col("part") >= F.col("other")})
-    else:
-        dealt = mixed.withColumns({"p": part, "q": part, "left": F.lit(True), "right": F.lit(True)})
-    tiles = dealt.select("cls", "root", "nth", "band", "p", "q", "left", "right").join(classes.select("cls", "packed", "bands"), "cls")
-    tiles = tiles.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "cls")
-    named = tiles.mapInArrow(_tile_pairs(every, least_estimate(percent / 100)), "a long, b long, estimate double")
-    if not every:
-        named = named.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = materialize(tiles).join(texts, "cls").join(classes.select("cls", "packed"), "cls")
+    rows = rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "cls")
+    rows = rows.select("cluster", "p", "q", "cls", "root", "asks", "answers", "main", "packed", "text")
+    return materialize(rows.mapInArrow(_resolve(length, percent, least_estimate(percent / 100)), "a long, b long"))
 
 
 def _texts(wanted: DataFrame, classes: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -362,8 +323,9 @@ def _linked(pairs: DataFrame, classes: DataFrame, tagged: DataFrame, length: int
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group kept, the one with the smallest id; all its columns and whole texts.
 
+    Groups as in near_duplicates(): null and empty texts stand alone and stay, very long ones are read whole.
     Rows are judged by id and text: those that repeat the kept id and are in its group stay, and a row
-    with a null id goes where its group has an id.
+    with a null id goes where its group has an id. Columns keep their names; an empty table stays empty.
     """
     key, tag = fresh(docs, "near_id", "near_tag")
     verdict = _judged(docs, id_col, text_col, length, percent)

@@ -389,10 +389,13 @@ def test_empty_tables(empty):
         assert out.collect() == [] and out.columns == empty.columns
 
 
-def test_clusters_of_any_size(spark, monkeypatch):
-    """The tiles of large clusters find what one task finds in a small one."""
+@pytest.mark.parametrize("limits", [(256, 1 << 20), (7, 1 << 20), (256, 500)])
+def test_clusters_of_any_size(spark, monkeypatch, limits):
+    """A cluster in one tile, in many small ones, and cut by its shingles: the same components, as by brute force."""
     from starloom.llm import near_dedup
 
+    monkeypatch.setattr(near_dedup, "TILE", limits[0])
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", limits[1])
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = []
@@ -403,7 +406,13 @@ def test_clusters_of_any_size(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = Counter((i, n, c, i == c) for i, n, c in near_groups(rows, 85))
+    assert len({x[2] for x in expected}) > 2
     assert rows_of(near_duplicates(docs)) == expected
-    monkeypatch.setattr(near_dedup, "NEAR_BY", (0, 0))
-    monkeypatch.setattr(near_dedup, "TILE", 16)
-    assert rows_of(near_duplicates(docs)) == expected
+
+
+def test_shared_sizes():
+    from starloom.llm.near_dedup import shared
+
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 6000, 1), (7000, 3)))
+    assert shared(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
