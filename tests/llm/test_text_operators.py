@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from starloom.llm import _words as W
-from starloom.llm import packing
+from starloom.llm import _shared, exact_dedup, packing
 from starloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from starloom.llm.language import identify_languages, keep_identified, training_sample
 from starloom.llm.mixing import mix_documents, mixed_corpus
@@ -234,7 +234,10 @@ def test_drop_near_duplicates(docs):
     assert rows_of(kept) == Counter(r for r, (i, _, c) in zip(corpus(), near_groups(corpus(), 80)) if i == c)
 
 
-def test_exact_duplicates(docs):
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_exact_duplicates(docs, monkeypatch, bound):
+    """With the filter broadcast, and joined by slice."""
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", bound)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = defaultdict(list)
     for i, t, *_ in corpus():
@@ -245,6 +248,17 @@ def test_exact_duplicates(docs):
     assert rows_of(drop_exact_duplicates(docs)) == Counter(r for r in corpus() if r[0] == least[norm(r[1])])
 
 
+def test_bloom_filter_at_any_load(spark):
+    """All repeats are found; the others by chance: about (1 - exp(-2 / bits a row)) ** 2 of them."""
+    rows = spark.range(40_000).selectExpr("xxhash64(id) h").union(spark.range(500).selectExpr("xxhash64(id) h"))
+    for told in (40_500, 40_500 // 8):
+        filter_, slices = exact_dedup.bloom_filter(rows, told, True)
+        found = exact_dedup.probed(rows.distinct(), "h", filter_, slices, "maybe").where("maybe")
+        assert found.join(spark.range(500).selectExpr("xxhash64(id) h"), "h").count() == 500
+        chance = (1 - np.exp(-2 * 40_500 / (slices << 15))) ** 2
+        assert 0.7 * chance <= (found.count() - 500) / 39_500 <= 1.3 * chance + 0.01
+
+
 def test_encoding_is_that_of_the_tokenizer():
     exact = Tokenizer.from_file(TOKENS)
     marks = [chr(c) for c in [*range(0x300), *range(0x2000, 0x2070), 0x3000, 0x4E2D, 0x1F600, 0xFEFF, 0x200B]]
