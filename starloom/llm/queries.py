@@ -125,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x)
             SELECT doc_id, min(i) - 1 AS start_word, count(*) AS n_words, CAST(any_value(len(w)) AS BIGINT) AS text_words FROM g JOIN d USING (doc_id) GROUP BY doc_id, run""",
         "op10_source_mixing": r"""
-            WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+            WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
 ]+')), 0) AS BIGINT) AS size,
                 (CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -134,11 +134,19 @@ def oracle_sql() -> dict[str, str]:
                 WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
             l AS (SELECT rest, open FROM f WHERE rest * w <= cap * open ORDER BY cap / w, source NULLS LAST LIMIT 1),
             t AS (SELECT source, source_size, least(cap::DOUBLE, l.rest::DOUBLE * w / l.open) AS target FROM f, l),
-            e AS (SELECT doc_id, size, source_size, target, u, d.source, least(3.0, CASE WHEN source_size > 0 THEN target * 1.0 / source_size ELSE 0 END) AS copies
-                FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-            p AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS chance FROM e),
-            q AS (SELECT *, u / (1 - u) / (chance / (1 - chance)) AS odds FROM p),
-            c AS (SELECT *, target - sum(size * whole) OVER (PARTITION BY source) AS room,
-                CASE WHEN chance > 0 THEN sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS UNBOUNDED PRECEDING) END AS upto FROM q)
-            SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN chance > 0 AND upto - size / 2.0 <= room THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""",
+            v AS (SELECT doc_id, size, source_size, target, u, d.source, length(bin(size)) AS g, CAST(pow(2, length(bin(size)) - 1) AS BIGINT) AS p FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+            e AS (SELECT *, CASE WHEN size > 0 THEN 64 * (8 + g) + CAST(floor((size - p) * 64 / p) AS BIGINT) ELSE 0 END AS w, CASE WHEN size > 0 THEN 4 * g + CAST(floor((size - p) * 4 / p) AS BIGINT) ELSE 0 END AS z FROM v),
+            kind AS (SELECT source, w, max(target) AS target, CAST(sum(size) AS BIGINT) AS words FROM e WHERE w > 0 GROUP BY ALL),
+            rising AS (SELECT source, w, (target - 3 * coalesce(sum(words) OVER more, 0)) / sum(words * w) OVER upto AS rate FROM kind
+                WINDOW more AS (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), upto AS (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+            r AS (SELECT source, max_by(rate, w) AS rate FROM rising WHERE rate * w < 3 GROUP BY source),
+            c AS (SELECT e.*, CASE WHEN w > 0 THEN least(3.0::DOUBLE, coalesce(rate * w, 3.0::DOUBLE)) ELSE 0::DOUBLE END AS copies FROM e LEFT JOIN r ON e.source IS NOT DISTINCT FROM r.source),
+            q AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS chance FROM c),
+            st AS (SELECT source, z, sum(chance * size) AS words, sum(chance) AS chances, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY z DESC) AS i FROM q WHERE chance > 0 GROUP BY source, z),
+            fold AS (SELECT source, z, i, words / chances AS mean, words AS due, least(n, greatest(0, floor(words / (words / chances) + 0.5))) AS take FROM st WHERE i = 1
+                UNION ALL SELECT st.source, st.z, st.i, st.words / st.chances, due - take * mean + st.words, least(st.n, greatest(0, floor((due - take * mean + st.words) / (st.words / st.chances) + 0.5)))
+                FROM fold JOIN st ON st.source IS NOT DISTINCT FROM fold.source AND st.i = fold.i + 1),
+            o AS (SELECT *, u / (1 - u) / (chance / (1 - chance)) AS odds FROM q),
+            k2 AS (SELECT o.*, row_number() OVER (PARTITION BY o.source, o.z, chance > 0 ORDER BY odds / (1 + odds), CAST(doc_id AS VARCHAR), size) AS nth, take FROM o LEFT JOIN fold ON o.source IS NOT DISTINCT FROM fold.source AND o.z = fold.z)
+            SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN chance > 0 AND nth <= take THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k2""",
     }
