@@ -39,10 +39,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STRUCTURE = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre p figure figcaption header hgroup details summary".split()) | HEADINGS
 #: Words of class, id or role that mark what is not the article, and what is.
 NOISE_WORDS = frozenset(
-    "nav navbar navigation menu menubar topnav subnav breadcrumb breadcrumbs pagination pager header masthead topbar toolbar footer foot colophon copyright legal sidebar aside rail widget widgets "
+    "nav navbar navigation menu menubar topnav subnav breadcrumb breadcrumbs pagination pager header masthead topbar toolbar footer foot colophon copyright sidebar aside rail widget widgets "
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner teaser outbrain taboola cookie cookies consent gdpr notice notification alert modal popup overlay "
     "comment comments commentlist respond reply replies disqus discussion feedback share sharing social follow newsletter subscribe subscription signup login register search searchbox related recommended "
-    "recommendations trending popular tags tagcloud toc skip hidden contentinfo complementary banners form dialog".split()
+    "recommendations trending popular tags tagcloud toc skip hidden contentinfo complementary banners dialog".split()
 )
 #: Words that make a mark a statement about the page, as in ``with-sidebar``.
 WITHOUT = frozenset("has with without no".split())
@@ -190,9 +190,11 @@ def blocks_of(page: str) -> list[Block]:
             label, hidden, words, _ = _marks(name, attributes)
             if not hidden and not words:
                 continue
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if end and (hidden or not _ARTICLE.search(page, at, end.start())):
-                at = end.end()
+            if name not in ends:
+                ends[name] = _ends(page, name)
+            end = ends[name].get(at, at)
+            if hidden or not _ARTICLE.search(page, at, end):
+                at = end
             continue
         if name == "br" or name in VOID and name != "hr":
             put(" ")
@@ -286,45 +288,64 @@ def _settle(blocks: list[Block], doubts: dict[int, Doubt]) -> None:
         b.apart = b.apart or not seen.issuperset(b.doubts)
 
 
-def content_of(blocks: list[Block]) -> list[str]:
-    """Texts of the content blocks.
+@dataclass
+class PathScores:
+    """Of each tag path: how much of its text is linked, its score, and whether it is content."""
 
-    What tags, classes, ids or roles set apart is left out (see _settle()), and where an article is marked only it
-    counts. Then text length and punctuation a node are summed up over each tag path, smoothed with
-    those of the neighbouring nodes' paths, fused to one score and held against a threshold of the
-    page; mostly linked paths score nothing. This decides within a marked article too. Beside chosen
-    paths, blocks of the same container stay, in its lists, tables and quotes as well, and so do
-    headings above or right before what stays and the first-level headings of a marked article.
+    linked: dict[str, float]
+    score: dict[str, float]
+    good: set[str]
+
+
+def path_scores(blocks: list[Block]) -> PathScores:
+    """Tag-path ratios of blocks in page order.
+
+    Text length and punctuation of the nodes of a path are summed up and taken a node; their fusion is the
+    product of both logarithms (a paragraph counts as one more mark) and of the share of text that
+    is not linked. A path's score is the mean of its nodes' scores after smoothing along the page with
+    weights 1, 2, 1. The threshold is 0.4 of the page's mean score a character.
     """
-    open_ = [b for b in blocks if not b.apart]
-    marked = [b for b in open_ if b.main]
-    chosen = marked or open_
-    if not chosen:
-        return []
     nodes, chars, points, linked = (defaultdict(float) for _ in range(4))
-    for b in chosen:
+    for b in blocks:
         nodes[b.path] += 1
         chars[b.path] += len(b.text)
         points[b.path] += len(_PUNCTUATION.findall(b.text))
         linked[b.path] += min(b.linked, len(b.text))
     dense = {p: linked[p] / chars[p] for p in nodes}
-    fused = {p: math.log1p(chars[p] / nodes[p]) * math.log1p(points[p] / nodes[p] + (p.rpartition("/")[2].split(".")[0] == "p")) * (1 - dense[p]) for p in nodes}
-    own = [fused[b.path] for b in chosen]
-    smooth = [(own[max(0, i - 1)] + 2 * x + own[min(len(own) - 1, i + 1)]) / 4 for i, x in enumerate(own)]
-    ratio = defaultdict(list)
-    for b, s in zip(chosen, smooth, strict=True):
-        ratio[b.path].append(s)
-    mean = {p: sum(v) / len(v) for p, v in ratio.items()}
-    weight = sum(chars.values())
-    threshold = 0.4 * sum(mean[p] * chars[p] for p in mean) / weight
-    good = {p for p in mean if mean[p] >= threshold and dense[p] <= 0.5}
-    around = {b.inside for b in chosen if b.path in good}
+    fused = {p: math.log1p(chars[p] / nodes[p]) * math.log1p(points[p] / nodes[p] + (_tag(p) == "p")) * (1 - dense[p]) for p in nodes}
+    own = [fused[b.path] for b in blocks]
+    score: dict[str, float] = defaultdict(float)
+    for i, b in enumerate(blocks):
+        score[b.path] += (own[max(0, i - 1)] + 2 * own[i] + own[min(len(own) - 1, i + 1)]) / 4 / nodes[b.path]
+    threshold = 0.4 * sum(score[p] * chars[p] for p in score) / sum(chars.values())
+    return PathScores(dense, dict(score), {p for p in score if score[p] >= threshold and dense[p] <= 0.5})
+
+
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].split(".")[0]
+
+
+def content_of(blocks: list[Block]) -> list[str]:
+    """Texts of the content blocks.
+
+    What tags, classes, ids or roles set apart is left out (see _settle()), and where an article is marked only it
+    counts. Then path_scores() chooses the paths, within a marked article too. Beside chosen paths, blocks of
+    the same container stay, in its lists, tables and quotes as well; so do headings above or right before
+    what stays and the first-level headings of a marked article. Mostly linked blocks stay only there, as a
+    marked article's lists of sources.
+    """
+    open_ = [b for b in blocks if not b.apart]
+    chosen = [b for b in open_ if b.main] or open_
+    if not chosen:
+        return []
+    paths = path_scores(chosen)
+    around = {b.inside for b in chosen if b.path in paths.good}
     above = {c[:i] for c in around for i in range(len(c) + 1) if i == len(c) or c[i] == "/"}
     kept = [False] * len(chosen)
     for i in range(len(chosen) - 1, -1, -1):
-        b, last = chosen[i], chosen[i].path.rpartition("/")[2].split(".")[0]
-        kept[i] = b.path in good
-        if not kept[i] and dense[b.path] <= 0.5:
+        b, last = chosen[i], _tag(chosen[i].path)
+        kept[i] = b.path in paths.good
+        if not kept[i] and (b.main or paths.linked[b.path] <= 0.5):
             kept[i] = _near(b.inside, around) or last in HEADINGS and (b.inside in above or b.main and last == "h1" or i + 1 < len(chosen) and kept[i + 1])
     return [b.text for b, k in zip(chosen, kept, strict=True) if k]
 
@@ -346,8 +367,9 @@ def main_text(page: str | None) -> str:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row per page, from its whole html.
 
-    Null and empty pages, and pages without an article, give an empty text. Repeated rows give equal
-    answers; other columns are not read; an empty table gives no rows.
+    Null and empty pages, and pages without an article, give an empty text; very long ones are read whole.
+    Repeated rows and null ids are answered row by row; other columns are not read, whatever their names;
+    an empty table gives no rows.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

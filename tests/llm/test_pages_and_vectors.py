@@ -1,12 +1,13 @@
 """Url rules, main texts and nearest vectors against brute force and hand-made cases."""
 
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from starloom.llm.html_text import extract_main_text, main_text
+from starloom.llm.html_text import Block, extract_main_text, main_text, path_scores
 from starloom.llm.nearest import nearest
 from starloom.llm.url_filter import filter_urls, rule_table
 
@@ -130,6 +131,77 @@ def test_scores_decide_in_articles():
     assert main_text(f"<main><h1>Title</h1><p>{'Some words, more. ' * 9}</p></main>").startswith("Title\n\nSome")
 
 
+def test_path_scores_by_brute_force():
+    """The same table, path by path, from the definition."""
+    rng = random.Random(4)
+    for _ in range(30):
+        tags = [rng.choice(["div.a/p", "div.a/ul/li", "div.b/span", "div.b", "p"]) for _ in range(rng.randint(1, 30))]
+        blocks = []
+        for t in tags:
+            text = "".join(rng.choice("ab .,") for _ in range(rng.randint(0, 200))) + "x"
+            blocks.append(Block(t, t.rpartition("/")[0], False, False, (), (), linked=rng.choice([0, 0, len(text)]), text=text))
+        def raw(path):
+            own = [b for b in blocks if b.path == path]
+            size, marks = sum(len(b.text) for b in own), sum(b.text.count(".") + b.text.count(",") for b in own)
+            linked = sum(b.linked for b in own) / size
+            return math.log(1 + size / len(own)) * math.log(1 + marks / len(own) + path.endswith("p")) * (1 - linked), linked
+        smooth = []
+        for i in range(len(blocks)):
+            near = [raw(blocks[k].path)[0] for k in (max(i - 1, 0), i, i, min(i + 1, len(blocks) - 1))]
+            smooth.append(sum(near) / 4)
+        mean = {t: np.mean([s for s, b in zip(smooth, blocks) if b.path == t]) for t in tags}
+        level = 0.4 * sum(mean[b.path] * len(b.text) for b in blocks) / sum(len(b.text) for b in blocks)
+        got = path_scores(blocks)
+        assert got.score == pytest.approx(mean) and got.linked == pytest.approx({t: raw(t)[1] for t in tags})
+        clear = {t for t in mean if abs(mean[t] - level) > 1e-9}
+        assert got.good & clear == {t for t in clear if mean[t] > level and raw(t)[1] <= 0.5}
+
+
+def generated(rng, layout):
+    """A page and its article's blocks: noise around the article, and under unknown names within its frame."""
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 8)))
+    sentence = lambda n: (" ".join(word() for _ in range(n)) + ".").capitalize()
+    own = [("h1", sentence(5)[:-1])]
+    for _ in range(rng.randint(4, 12)):
+        own.append(("p", " ".join(sentence(rng.randint(5, 14)) for _ in range(rng.randint(2, 6)))))
+        if rng.random() < 0.2:
+            own.append(("h2", sentence(3)[:-1]))
+            own.append(("p", " ".join(sentence(9) for _ in range(3))))
+    own.append(("ul", [sentence(3) for _ in range(3)]))
+    body = "".join(f"<ul>{''.join(f'<li>{x}</li>' for x in t)}</ul>" if n == "ul" else f"<{n}>{t}</{n}>" for n, t in own)
+    links = "".join(f"<li><a href=/{word()}>{word()} {word()}</a></li>" for _ in range(8))
+    teasers = f"<div class={word()}x><h3>{word()}</h3>" + "".join(f"<span>{word()} {word()}</span><br>" for _ in range(5)) + "</div>"
+    open_, close = {"article": ("<article>", "</article>"), "main": ("<main><div class=x>", "</div></main>"), "div": ("<div id=c1><div class=c2>", "</div></div>")}[layout]
+    page = f"<html><head><title>{word()}</title></head><body><header><h2>{word()}</h2></header><ul>{links}</ul><div class=ad>{sentence(8)}</div>{open_}{body}{close}{teasers}<div class=sidebar><p>{sentence(20)}</p></div><section id=comments><p>{sentence(30)}</p></section><footer><p>{sentence(12)}</p></footer></body></html>"
+    return page, [x for _, t in own for x in ([t] if isinstance(t, str) else t)]
+
+
+@pytest.mark.parametrize("layout", ["article", "main", "div"])
+def test_generated_pages(layout):
+    rng = random.Random(layout)
+    right = found = known = 0
+    for _ in range(60):
+        page, own = generated(rng, layout)
+        got = main_text(page).split("\n\n")
+        right += sum((Counter(got) & Counter(own)).values())
+        found, known = found + len(got), known + len(own)
+    assert right >= 0.98 * known and right >= 0.98 * found, (right, found, known)
+
+
+def test_what_articles_keep():
+    p = "<p>Paragraph of the text, which is long enough, has commas, and ends well. It goes on; it stops here.</p>" * 3
+    text = ["Paragraph of the text, which is long enough, has commas, and ends well. It goes on; it stops here."] * 3
+    sources = "<ul><li><a href=/1>Source one</a></li><li><a href=/2>Source two</a></li></ul>"
+    assert main_text(f"<nav>Menu</nav><article>{p}{sources}</article>").split("\n\n") == [*text, "Source one", "Source two"]
+    assert main_text(f"<article>{p}<section class='legal-history'>{p}</section><div class='long form'>{p}</div></article>").split("\n\n") == text * 3
+    assert main_text("<article><p>One, two <span class='ad'>buy <span>now</span> cheap</span> three.</p></article>") == "One, two three."
+
+
+def test_repeated_pages_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a, b.", 9)] * 3 + [(2, None, None, 1)], "page_id long, url string, html string, n_chars int")
+    assert Counter(map(tuple, extract_main_text(pages).collect())) == Counter({(1, "u", "a, b.", 5): 3, (2, None, "", 0): 1})
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_nearest(spark, kind):
     rng = np.random.default_rng(6)
