@@ -54,28 +54,44 @@ def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (x & np.uint64((1 << bits) - 1)).astype(np.int64), (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def fit(rows: list[tuple[str, str]], bits: int = 20, least: int = 2, share: float = 0.2) -> LanguageFilters:
-    """Filters of (language, text) rows: a language holds an n-gram that it has at least ``least`` times and
-    at ``share`` of the rate of the language richest in it."""
-    languages = tuple(sorted({lang for lang, _ in rows}))
-    counts = []
-    for lang in languages:
-        h, _ = grams([t.encode() for own, t in rows if own == lang])
-        counts.append(np.unique(h, return_counts=True))
-    every = np.unique(np.concatenate([c[0] for c in counts])) if counts else np.zeros(0, np.uint32)
-    rates = np.zeros((len(languages), len(every)))
-    enough = np.zeros(rates.shape, bool)
-    for i, (h, n) in enumerate(counts):
-        at = np.searchsorted(every, h)
-        rates[i, at], enough[i, at] = n / max(1, n.sum()), n >= least
-    holds = enough & (rates >= share * rates.max(axis=0, initial=0))
+def gram_counts(sample: DataFrame) -> DataFrame:
+    """lang, gram, n of rows (lang, text), counted on the executors; a language without n-grams has gram -1."""
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 2 << 20):
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            texts = [x.encode() for x in batch.column("text").to_pylist()]
+            for lang in sorted(set(langs)):
+                h, n = np.unique(grams([texts[i] for i in np.flatnonzero(langs == lang)])[0], return_counts=True)
+                values = [pa.array([lang] * (len(h) + 1)), pa.array(np.append(h.astype(np.int64), -1)), pa.array(np.append(n, 0))]
+                yield pa.RecordBatch.from_arrays(values, schema=schema)
+
+    return sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def fit(sample: DataFrame, bits: int = 20, least: int = 2, share: float = 0.2) -> LanguageFilters:
+    """Filters of (lang, text) rows: a language holds an n-gram that it has at least ``least`` times and
+    at ``share`` of the rate of the language richest in it. Only held n-grams reach the driver: some ten
+    bytes for each of those of the bounded sample."""
+    counts = materialize(gram_counts(sample))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rated = counts.where("gram >= 0").join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
+    held = rated.join(best, "gram").where((F.col("n") >= least) & (F.col("rate") >= share * F.col("best"))).select("lang", "gram").toArrow()
+    languages = tuple(sorted(r["lang"] for r in totals.select("lang").collect()))
+    langs, every = np.array(held.column("lang").to_pylist(), object), held.column("gram").to_numpy().astype(np.uint32)
+    return filters_of(languages, [every[langs == x] for x in languages], bits)
+
+
+def filters_of(languages: tuple[str, ...], held: list[np.ndarray], bits: int) -> LanguageFilters:
+    """The bit-sliced filters of the n-grams that each language holds."""
     masks = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), np.uint64)
     false = np.zeros(len(languages))
-    first, second = _slots(every, bits)
-    for i in range(len(languages)):
+    for i, h in enumerate(held):
         bit, column = np.uint64(1 << (i % 64)), i // 64
-        for slots in (first, second):
-            masks[slots[holds[i]], column] |= bit
+        for slots in _slots(h, bits):
+            masks[slots, column] |= bit
         false[i] = np.mean((masks[:, column] & bit) > 0) ** 2
     if len(languages) <= 8:
         masks = masks.astype(np.uint8)
@@ -113,8 +129,8 @@ def _rates(filters: LanguageFilters, texts: list[str]) -> tuple[list[str], list[
     return langs, [float(rates[b, i]) if ok else 0.0 for i, (b, ok) in enumerate(zip(best, named, strict=True))]
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts a language, chosen by a hash of the id, so that every labelled language is learned.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> DataFrame:
+    """lang, text: at most ``rows`` labelled texts a language, chosen by a hash of the id, so that every labelled language is learned.
 
     Texts of at most ``chars`` characters come first. Where a language has fewer than ``rows`` of
     them, longer ones follow, each by at most its first LONG * ``chars`` characters, until the language
@@ -131,7 +147,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = near.withColumns({"rank": F.row_number().over(order), "before": before}).where((F.col("rank") <= rows) & (~F.col("long") | (F.col("before") < FULL * chars)))
-    return [(r["lang"], r["text"]) for r in ranked.select("lang", "text").collect()]
+    return ranked.select("lang", "text")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 500, sample_chars: int = 1 << 16) -> DataFrame:
@@ -145,8 +161,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the first by code point) and is the score.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every text if no
-    labelled row exists. A null id is not held out and is not learned from. Equal rows get equal
-    answers; other columns are not read; an empty table gives no rows.
+    labelled row exists. Very long texts are read whole. A null id is not held out and is not learned from. Equal
+    rows get equal answers; other columns are not read, whatever their names; an empty table gives no rows.
     """
     filters = fit(training_sample(docs, id_col, text_col, lang_col, sample_rows, sample_chars))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -158,7 +174,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the rows whose language is ``und`` or has a score below ``least``; whole rows, all columns.
 
     Where no labelled row exists nothing can be learned, and all rows with a letter would be ``und``:
-    they go. Nulls and repeated rows as in identify_languages().
+    they go. Nulls, very long texts and repeated rows as in identify_languages(); an empty table stays empty.
     """
     filters = fit(training_sample(docs, id_col, text_col, lang_col, sample_rows, sample_chars))
     place = docs.columns.index(text_col)

@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from starloom.llm import _words as W
-from starloom.llm import _shared, exact_dedup, packing
+from starloom.llm import _shared, exact_dedup, language, packing
 from starloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from starloom.llm.language import identify_languages, keep_identified, training_sample
 from starloom.llm.mixing import mix_documents, mixed_corpus
@@ -371,8 +371,8 @@ def test_languages_with_long_texts_only(spark):
     assert all(r.lang_pred == ("aa" if r.doc_id < 100 else "bb") for r in got)
     assert {r.lang for r in keep_identified(docs, sample_rows=20, sample_chars=100).select("lang").distinct().collect()} == {"aa", "bb"}
     one = docs.where("doc_id < 41 or doc_id = 100").selectExpr("doc_id + 1 doc_id", "text", "lang")
-    assert {lang for lang, _ in training_sample(one, "doc_id", "text", "lang", 20, 100)} == {"aa", "bb"}
-    many = training_sample(docs, "doc_id", "text", "lang", 20, 20)
+    assert {r.lang for r in training_sample(one, "doc_id", "text", "lang", 20, 100).collect()} == {"aa", "bb"}
+    many = [tuple(r) for r in training_sample(docs, "doc_id", "text", "lang", 20, 20).collect()]
     assert sum(len(t) for lang, t in many if lang == "bb") <= (32 + 8) * 20 and max(len(t) for _, t in many) <= 8 * 20
 
 
@@ -394,6 +394,51 @@ def test_language(spark):
     assert {r.lang_pred for r in identify_languages(unlabelled).collect()} == {"und"}
 
 
+def test_held_out_accuracy(spark):
+    """Languages of the test table's held-out quarter, whatever the sources; clean documents have a language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = {r.doc_id: r.lang for r in docs.where("lang is not null").collect()}
+    got = [r for r in identify_languages(docs).collect() if r.held_out and r.doc_id in known]
+    right = sum(r.lang_pred == known[r.doc_id] for r in got)
+    assert len(got) > 100 and right >= 0.95 * len(got), (right, len(got))
+
+
+def test_filters_by_brute_force(spark):
+    """Held n-grams are those of the definition, and corrected rates come near the shares that sets give."""
+    rng = random.Random(11)
+    kinds = {"aa": "abcdef", "bb": "cdefgh", "cc": "efghij"}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(2, 6))) for _ in range(150)] for k, v in kinds.items()}
+    texts = [(k, " ".join(rng.choice(words[k]) for _ in range(60))) for k in kinds for _ in range(25)]
+
+    counts = {k: Counter(int.from_bytes(g, "big") for own, t in texts if own == k for g in grams_of(t)) for k in kinds}
+    rate = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    held = {k: {g for g, n in c.items() if n >= 2 and rate[k][g] >= 0.2 * max(r.get(g, 0) for r in rate.values())} for k, c in counts.items()}
+    filters = language.fit(spark.createDataFrame(texts, "lang string, text string"), bits=14)
+    assert filters.languages == tuple(kinds)
+    expected = language.filters_of(tuple(kinds), [np.array(sorted(held[k]), np.uint32) for k in kinds], 14)
+    assert (filters.masks == expected.masks).all() and (filters.false == expected.false).all()
+    for k, text in texts[::7]:
+        own = [int.from_bytes(g, "big") for g in grams_of(text)]
+        shares = {x: sum(g in held[x] for g in own) / len(own) for x in kinds}
+        langs, scores = language._rates(filters, [text])
+        assert langs == [max(shares, key=shares.get)] == [k] and abs(scores[0] - shares[k]) < 0.05
+
+
+def grams_of(text):
+    """Runs of four folded bytes of a text with one space before and two behind, blank ones left out."""
+    raw = " " + "".join(c.lower() if c.isascii() and c.isalpha() else c if not c.isascii() else " " for c in text) + "  "
+    raw = raw.encode()
+    return [raw[i : i + 4] for i in range(len(raw) - 3) if raw[i : i + 4] != b"    "]
+
+
+def test_repeated_rows_and_clashing_columns_of_languages(spark):
+    rows = [(i % 40, f"{'kalo mira tuse' if i % 2 else 'zwig pfron schrut'} " * 5, "a" if i % 2 else "b", "x", "y") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, Score string")
+    got = Counter(map(tuple, identify_languages(docs).collect()))
+    assert sum(got.values()) == 80 and set(got.values()) == {2} and all(g[2] == ("a" if g[0] % 2 else "b") for g in got)
+    assert keep_identified(docs).columns == docs.columns and keep_identified(docs).count() == 80
+
+
 def test_empty_tables(empty):
     for f in (near_duplicates, exact_duplicates, remove_repeated_substrings, repeated_passages, mix_documents, identify_languages):
         assert f(empty).collect() == []
