@@ -15,8 +15,10 @@ def literal_row(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def placeholder_member(dim: DataFrame, key: str, named: dict[str, Column] | None = None, now: Column | None = None) -> DataFrame:
-    """The member for facts that cannot be resolved; it is valid at every instant and marked as no real one."""
-    values = {key: unknown_key(), "is_placeholder": F.lit(True), "is_current": F.lit(True)} | (named or {})
+    """The member for facts that cannot be resolved: every text attribute is UNKNOWN, unless ``named`` gives
+    another value; it is valid at every instant and marked as no real one."""
+    texts = {f.name: F.lit(UNKNOWN) for f in dim.schema if f.dataType.simpleString() == "string"}
+    values = texts | {key: unknown_key(), "is_placeholder": F.lit(True), "is_current": F.lit(True)} | (named or {})
     if "effective_from" in dim.columns:
         kind = dim.schema["effective_from"].dataType.simpleString()
         values |= {"effective_from": beginning(kind), "effective_to": forever(kind)}
@@ -26,25 +28,27 @@ def placeholder_member(dim: DataFrame, key: str, named: dict[str, Column] | None
 def versioned_dimension(versions: DataFrame, key: str, business_key: list[str], now: Column | None = None) -> DataFrame:
     """Versions with a key of (business key, effective_from), and the placeholder member."""
     real = versions.select(surrogate_key(*business_key, "effective_from").alias(key), "*", F.lit(False).alias("is_placeholder"))
-    named = {c: F.lit(UNKNOWN) for c in business_key}
-    return real.unionByName(placeholder_member(real, key, named, now))
+    return real.unionByName(placeholder_member(real, key, now=now))
 
 
-def inferred_members(dim: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    """Distinct fact keys that the dimension lacks, as rows of its columns marked is_inferred; nulls infer nothing."""
+def inferred_members(dim: DataFrame, facts: DataFrame, column: str, unknown: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct fact keys that the dimension lacks, as rows of its columns marked is_inferred; nulls infer nothing.
+
+    Columns in ``unknown`` are UNKNOWN, so that reports group them; all others are null.
+    """
     keys = facts.select(column).where(F.col(column).isNotNull()).distinct()
     missing = keys.join(dim.select(column), column, "left_anti")
-    fill = [F.lit(True) if f.name == "is_inferred" else F.lit(UNKNOWN) if f.name == "status" else F.lit(None) for f in dim.schema]
+    fill = [F.lit(True) if f.name == "is_inferred" else F.lit(UNKNOWN) if f.name in unknown else F.lit(None) for f in dim.schema]
     return missing.select(*[(F.col(column) if f.name == column else v).cast(f.dataType).alias(f.name) for f, v in zip(dim.schema, fill, strict=True)])
 
 
-def keyed_dimension(rows: DataFrame, key: str, business_key: list[str], facts: DataFrame | None = None) -> DataFrame:
+def keyed_dimension(rows: DataFrame, key: str, business_key: list[str], facts: DataFrame | None = None, unknown: tuple[str, ...] = ()) -> DataFrame:
     """Current rows with a key of the business key, and inferred members for fact keys that have not arrived.
 
     An inferred member has the key that the real one will have, so facts need no change when it comes.
     """
     real = rows.withColumn("is_inferred", F.lit(False))
-    every = real if facts is None else real.unionByName(inferred_members(real, facts, business_key[0]))
+    every = real if facts is None else real.unionByName(inferred_members(real, facts, business_key[0], unknown))
     return every.select(surrogate_key(*business_key).alias(key), "*")
 
 

@@ -82,9 +82,9 @@ def guard_deletions(versions: DataFrame, deletions: DataFrame, key: list[str], m
     By default all derived deletions count, over keys that are open now; ``only_new`` counts those
     that would close something.
     """
-    current = versions.where("is_current")
-    counted = current.join(deletions, key, "left_semi") if only_new else deletions
-    n, of = counted.count(), current.count()
+    current = versions.where("is_current").select(*key, F.lit(1).alias("open"))
+    both = current.join(deletions.select(*key, F.lit(1).alias("gone")), key, "left" if only_new else "full")
+    n, of = both.agg(F.count("gone"), F.count("open")).first()
     share = n / of if of else 0.0
     if share > most:
         raise MassDeletion(f"{n} of {of} open keys would be closed, above {most:.0%}")

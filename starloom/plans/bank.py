@@ -42,7 +42,7 @@ def dim_party(t: Tables, now: Column) -> DataFrame:
 
 
 def dim_account(t: Tables, now: Column) -> DataFrame:
-    rows = D.keyed_dimension(t["silver_account"], "account_sk", ["account_id"], t["silver_transaction"])
+    rows = D.keyed_dimension(t["silver_account"], "account_sk", ["account_id"], t["silver_transaction"], ("product_type", "status"))
     return rows.withColumn("updated_at", F.coalesce("updated_at", now))
 
 
@@ -109,11 +109,11 @@ class Pipeline:
         return F.lit(self.now).cast("timestamp")
 
     def land(self, root: str, batch_id: str) -> None:
-        """Bronze: replace one batch of every source with what ``root/<batch>/<entity>.csv`` holds."""
+        """Bronze: replace one batch of every source with what ``root/<batch>/<entity>.csv`` holds; refused by a table that has drifted."""
         for spec in self.specs.values():
             if spec.layer == "bronze":
                 rows = read_extract(self.store.spark, spec, f"{root}/{batch_id}/{spec.source_file}.csv", batch_id, self._now)
-                self.store.replace_batch(rows, spec)
+                self.store.replace_batch(rows, spec, batch_id)
 
     def conform(self, batch_id: str, most_deleted: float = H.MOST_DELETED) -> None:
         """Silver: bring one landed batch into the typed tables, each published once."""
@@ -122,7 +122,7 @@ class Pipeline:
                 continue
             bronze = self.store.read(self.specs[spec.source_spec])
             incoming = coerce(batch_of(bronze, batch_id), spec)
-            stored = self.store.read(spec)
+            stored = self.store.ensure(spec).read(spec)
             if spec.history == "scd2":
                 H.refuse_empty(incoming, spec)
                 landed = coerce(bronze, spec, "_batch_id")

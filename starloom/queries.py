@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.functions.columns import BEGINNING, FOREVER, category_code, date_key, differs, fingerprint, money, surrogate_key, title_of
+from starloom.functions.columns import BEGINNING, FOREVER, category_code, date_key, differs, fingerprint, money, surrogate_key, title_of, unknown_key
 from starloom.operators import checks as K
 from starloom.operators import dimensions as D
 from starloom.operators import facts as X
 from starloom.operators import history as H
-from starloom.operators.clean import exact_rows, latest_rows
-from starloom.operators.upsert import When, close_versions, merge, replace_keys, require_unique, synchronise, upsert_latest
+from starloom.operators.clean import coerce, exact_rows, latest_rows
+from starloom.operators.upsert import When, close_versions, merge, require_unique, synchronise, upsert_latest
+from starloom.schema import create_table, differences, struct
+from starloom.sources.extracts import read_extract
+from starloom.spec import Spec, bank_model, parse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +39,20 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spec(types: dict[str, str], key: str, sequence: str, tracked: tuple[str, ...] = ()) -> Spec:
+    """A spec over a test table; with ``tracked`` columns it is versioned."""
+    attributes = [{"name": n, "type": t, "tracked": n in tracked} for n, t in types.items()]
+    return parse({"name": "silver_row", "layer": "silver", "kind": "entity", "grain": "A row of a test table.", "business_key": [key], "history": {"type": "scd2" if tracked else "scd1", "sequence_by": sequence}, "attributes": attributes})
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; of the driver's own only where it is the cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root or tempfile.mkdtemp(prefix='starloom-')}/queries-{uuid.uuid4().hex}"
+
+
 # Pieces of SQL that several oracles share; each restates the semantics, none comes from the plans.
 _TIMELINE = f"""
     rows_ AS (SELECT user_id, ts, event_type, event_id, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_type NULLS LAST, event_id) AS n FROM events),
@@ -60,8 +79,9 @@ def _gone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT event_id, try_cast(event_type AS INTEGER) AS type_number, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, try_cast(CAST(value AS VARCHAR) AS DECIMAL(18,2)) AS amount FROM events")
 def coerce_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events")
-    return e.select("event_id", F.col("event_type").try_cast("int").alias("type_number"), F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.col("value").cast("string").try_cast("decimal(18,2)").alias("amount"))
+    spec = _spec({"event_id": "bigint", "type_number": "int", "k": "bigint", "amount": "decimal(18,2)"}, "event_id", "event_id")
+    texts = {"event_id": F.col("event_id"), "type_number": F.col("event_type"), "k": F.get_json_object("props", "$.k"), "amount": F.col("value")}
+    return coerce(_t(spark, sf_dir, "events").select(*[c.cast("string").alias(n) for n, c in texts.items()]), spec)
 
 
 @_query("""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS n FROM lineitem) WHERE n = 1""")
@@ -118,12 +138,48 @@ def scd2_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_TIMELINE} SELECT * REPLACE (CAST(effective_to AS VARCHAR) AS effective_to) FROM versions")
 def scd2_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = _spec({"user_id": "bigint", "event_type": "string", "event_id": "bigint", "ts": "timestamp"}, "user_id", "ts", ("event_type",))
+    landed = _t(spark, sf_dir, "events").select(*spec.columns, F.when(F.col("event_id") % 3 == 0, "late").otherwise("early").alias("_batch_id"))
+    stored = H.rebuild_timeline(landed.where("_batch_id = 'early'"), spec)
+    return _ends_as_text(H.advance(stored, landed, spec, "late"))
+
+
+@_query(f"WITH {_TIMELINE} SELECT count(*) FILTER (nth > 1 AND event_type IS NOT DISTINCT FROM was) AS idle FROM marked")
+def scd2_idle_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as a version: those that a timeline would prune are found."""
     events = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
-    late = F.col("event_id") % 3 == 0
-    stored = H.timeline(events.where(~late), ["user_id"], "ts", ["event_type"])
-    affected = events.where(late).select("user_id")
-    rebuilt = H.timeline(events.join(affected.distinct(), "user_id", "left_semi"), ["user_id"], "ts", ["event_type"])
-    return _ends_as_text(replace_keys(stored, rebuilt, affected, ["user_id"]))
+    one = latest_rows(events, ["user_id", "ts"], "ts", ["event_type", "event_id"])
+    return K.idle_versions(one.withColumn("effective_from", F.col("ts")), ["user_id"], ["event_type"])
+
+
+@_query(f"""WITH {_TIMELINE}, moved AS (SELECT user_id, effective_from, CASE WHEN is_current THEN effective_to WHEN user_id % 5 = 0 THEN effective_to - INTERVAL 1 HOUR WHEN user_id % 7 = 0 THEN effective_to + INTERVAL 1 HOUR ELSE effective_to END AS effective_to FROM versions),
+    followed AS (SELECT *, lead(effective_from) OVER (PARTITION BY user_id ORDER BY effective_from, effective_to) AS later FROM moved)
+    SELECT count(*) FILTER (later < effective_to) AS overlaps, count(*) FILTER (later > effective_to) AS gaps, count(*) FILTER (effective_to <= effective_from) AS inverted FROM followed""")
+def scd2_faults_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends moved by an hour either way are found."""
+    by = F.when(F.col("is_current"), 0).when(F.col("user_id") % 5 == 0, -1).when(F.col("user_id") % 7 == 0, 1).otherwise(0)
+    moved = _versions(spark, sf_dir).withColumn("effective_to", F.when(by == 0, F.col("effective_to")).otherwise(F.col("effective_to") + F.make_dt_interval(hours=by)))
+    return K.ranges(moved, ["user_id"])
+
+
+_DIM_USER = f"""SELECT sha256(concat_ws(chr(31), CAST(user_id AS VARCHAR), CAST(effective_from AS VARCHAR))) AS user_sk, user_id, event_type, event_id, ts, effective_from, effective_to, is_current, false AS is_placeholder FROM versions
+    UNION ALL SELECT sha256('UNKNOWN'), NULL, 'UNKNOWN', NULL, NULL, TIMESTAMP '{BEGINNING}', TIMESTAMP '{FOREVER}', true, true"""
+
+
+@_query(f"WITH {_TIMELINE}, dim AS ({_DIM_USER}) SELECT * REPLACE (CAST(effective_to AS VARCHAR) AS effective_to) FROM dim")
+def versioned_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ends_as_text(D.versioned_dimension(_versions(spark, sf_dir), "user_sk", ["user_id"]))
+
+
+@_query(f"""WITH {_TIMELINE}, dim AS ({_DIM_USER}), f AS (SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS user_id, CAST(TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 40000) MINUTE AS TIMESTAMP) AS happened FROM orders)
+    SELECT o_orderkey, coalesce(user_sk, sha256('UNKNOWN')) AS user_sk, CAST(strftime(happened, '%Y%m%d') AS INTEGER) AS date_key FROM f LEFT JOIN dim ON f.user_id = dim.user_id AND happened >= effective_from AND happened < effective_to""")
+def fact_asof_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts resolved to the dimension's version that held when they happened; the rest points to the unknown member."""
+    dim = D.versioned_dimension(_versions(spark, sf_dir), "user_sk", ["user_id"])
+    at = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 40000).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    facts = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("owner"), at.alias("at"))
+    dated = X.asof_join(facts, dim, {"owner": "user_id"}, "at", ["user_sk"])
+    return dated.select("o_orderkey", F.coalesce("user_sk", unknown_key()).alias("user_sk"), date_key(F.to_date("at")).alias("date_key"))
 
 
 @_query("SELECT 0::BIGINT AS idle")
@@ -228,14 +284,9 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("code", code)
 
 
-@_query(f"SELECT DISTINCT sha256({_CODE}) AS category_sk, {_CODE} AS code FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@_query(f"SELECT DISTINCT sha256({_CODE}) AS category_sk, {_CODE} AS code, array_to_string(list_transform(string_split(replace(lower({_CODE}), '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def category_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.category_dimension(_coded(spark, sf_dir), "code", "category_sk", "name").drop("name")
-
-
-@_query("""SELECT DISTINCT r_regionkey, replace(r_name, '_', ' ') AS plain, upper(substr(replace(lower(r_name), '_', ' '), 1, 1)) || substr(replace(lower(r_name), '_', ' '), 2) AS first_word_title FROM region WHERE instr(r_name, ' ') = 0""")
-def category_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "region").where("instr(r_name, ' ') = 0").select("r_regionkey", F.regexp_replace("r_name", "_", " ").alias("plain"), title_of(F.col("r_name")).alias("first_word_title"))
+    return D.category_dimension(_coded(spark, sf_dir), "code", "category_sk", "name")
 
 
 @_query("""SELECT r_regionkey, array_to_string(list_transform(string_split(replace(lower(r_name), '_', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM region""")
@@ -316,6 +367,16 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.col("left_amount").cast("decimal(28,2)").alias("left_amount"), F.col("right_amount").cast("decimal(28,2)").alias("right_amount"))
 
 
+@_query(f"""{_BALANCE}, l AS (SELECT user_id, sum(movement) AS a, sum(txn_count) AS x FROM bal WHERE user_id % 3 <> 0 OR date_key % 10 <> 7 GROUP BY 1), r AS (SELECT user_id, sum({_SIGNED}) AS b, count(*) FILTER (event_type <> 'signup') AS y FROM events GROUP BY 1)
+    SELECT coalesce(l.user_id, r.user_id) AS user_id, CAST(a AS DECIMAL(28,2)) AS left_amount, CAST(x AS BIGINT) AS left_n, CAST(b AS DECIMAL(28,2)) AS right_amount, y AS right_n FROM l FULL JOIN r ON l.user_id = r.user_id WHERE abs(coalesce(a, 0) - coalesce(b, 0)) > 0.01 OR abs(coalesce(x, 0) - coalesce(y, 0)) > 0.01""")
+def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and counts of a snapshot that lost some days, against the events."""
+    left = _balances(spark, sf_dir).where("user_id % 3 <> 0 or date_key % 10 <> 7").select("user_id", F.col("movement").alias("amount"), F.col("txn_count").alias("n"))
+    right = _signed_events(spark, sf_dir).select("user_id", "amount", (F.col("event_type") != "signup").cast("int").alias("n"))
+    out = K.reconcile(left, right, ["user_id"], ["amount", "n"])
+    return out.select("user_id", *[F.col(f"{side}_{m}").cast(k).alias(f"{side}_{m}") for side in ("left", "right") for m, k in (("amount", "decimal(28,2)"), ("n", "long"))])
+
+
 @_query(f"{_BALANCE} SELECT count(*) FILTER (strptime(CAST(date_key AS VARCHAR), '%Y%m%d') < opened) AS early, count(*) FILTER (strptime(CAST(date_key AS VARCHAR), '%Y%m%d') >= closed) AS late FROM bal JOIN ent USING (user_id)")
 def outside_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.outside_life(_balances(spark, sf_dir), _users(spark, sf_dir), "user_id", "opened", "closed")
@@ -429,21 +490,23 @@ def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integers(spark, 1000, 7).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query()
+@_query(f"""WITH {_TIMELINE} SELECT CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), CAST(effective_from AS VARCHAR), CAST(effective_to AS VARCHAR), coalesce(CAST(event_id AS VARCHAR), chr(0)), coalesce(event_type, chr(0)), CAST(is_current AS VARCHAR), CAST(ts AS VARCHAR), CAST(user_id AS VARCHAR))), 1, 13) AS HUGEINT)) % 10000000000000 AS BIGINT) AS fingerprint FROM versions""")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.table_fingerprint(_versions(spark, sf_dir))
 
 
-@_query("""SELECT n_name, CAST(to_json({'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey}) AS VARCHAR) AS _rescued_data FROM nation""")
+@_query("""SELECT n_name, CAST(to_json({'n_nationkey': CAST(n_nationkey AS VARCHAR), 'n_regionkey': CAST(n_regionkey AS VARCHAR)}) AS VARCHAR) AS _rescued_data, 'b1' AS _batch_id FROM nation""")
 def rescue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "nation").select("n_name", F.to_json(F.struct("n_nationkey", "n_regionkey")).alias("_rescued_data"))
+    """An extract with undeclared columns, written as CSV and read by its spec."""
+    path = _scratch(spark)
+    _t(spark, sf_dir, "nation").write.option("header", True).csv(path)
+    return read_extract(spark, _spec({"n_name": "string"}, "n_name", "n_name"), path, "b1").select("n_name", "_rescued_data", "_batch_id")
 
 
 @_query(f"WITH {_GONE} SELECT (SELECT count(*) FROM gone)::DOUBLE / count(DISTINCT user_id) AS share FROM events")
 def deletion_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = _versions(spark, sf_dir).where("is_current").agg(F.count(F.lit(1)).alias("open"))
-    gone = _gone(spark, sf_dir).agg(F.count(F.lit(1)).alias("gone"))
-    return gone.crossJoin(F.broadcast(current)).select((F.col("gone").cast("double") / F.col("open")).alias("share"))
+    share = H.guard_deletions(_versions(spark, sf_dir), _gone(spark, sf_dir), ["user_id"], most=1.0)
+    return spark.createDataFrame([(share,)], "share double")
 
 
 @_query("""SELECT r.r_name, count(n.n_nationkey) AS nations, count(*) FILTER (n.n_nationkey IS NULL) AS without FROM region r LEFT JOIN nation n ON r.r_regionkey = n.n_regionkey AND n.n_name < 'M' GROUP BY 1""")
@@ -455,17 +518,13 @@ def left_join_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def ddl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from starloom.schema import create_table
-    from starloom.spec import bank_model
-
     return spark.createDataFrame([(n, create_table(s)) for n, s in bank_model().items()], "spec string, ddl string")
 
 
-@_query()
+@_query("SELECT * FROM (VALUES ('silver_account', 'missing column status'), ('silver_account', 'undeclared column colour'), ('silver_account', 'column open_date is string, declared date')) t(spec, difference)")
 def conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from starloom.schema import differences, struct
-    from starloom.spec import bank_model
-
+    """The whole model against its own schemas, and one table with planted drift."""
     model = bank_model()
-    faults = [(n, d) for n, s in model.items() for d in differences(struct(model["silver_party"]), s)]
-    return spark.createDataFrame(faults, "spec string, difference string")
+    drifted = spark.createDataFrame([], struct(model["silver_account"])).drop("status").withColumns({"colour": F.lit("red"), "open_date": F.col("open_date").cast("string")})
+    found = [(n, d) for n, s in model.items() for d in differences(drifted.schema if n == "silver_account" else struct(s), s)]
+    return spark.createDataFrame(found, "spec string, difference string")

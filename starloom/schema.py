@@ -25,7 +25,7 @@ def struct(spec: Spec) -> T.StructType:
 
 
 def properties(spec: Spec) -> dict[str, str]:
-    return {f"{PROPERTY}.grain": spec.grain, f"{PROPERTY}.kind": spec.kind, f"{PROPERTY}.history": spec.history, f"{PROPERTY}.business_key": ",".join(spec.business_key)}
+    return {f"{PROPERTY}.grain": spec.grain, f"{PROPERTY}.kind": spec.kind, f"{PROPERTY}.history": spec.history, f"{PROPERTY}.business_key": ",".join(spec.business_key), f"{PROPERTY}.sequence_by": spec.sequence_by}
 
 
 def literal(text: str) -> str:
@@ -66,6 +66,12 @@ def conformance(spark: SparkSession, spec: Spec, table: str | None = None) -> li
     return found + [f"property {k} is {stored.get(k)!r}, declared {v!r}" for k, v in properties(spec).items() if stored.get(k) != v]
 
 
+def stated_grain(spark: SparkSession, spec: Spec) -> str | None:
+    """The grain as the catalog has it: the comment that DESCRIBE shows."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {spec.table}").where("col_name = 'Comment'").collect()
+    return rows[0]["data_type"] if rows else None
+
+
 def require(df: DataFrame, spec: Spec) -> DataFrame:
     """``df`` in declared column order, or an error that lists every difference."""
     if found := differences(df.schema, spec):

@@ -10,13 +10,27 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starloom.schema import create_database, create_table, require, struct
+from starloom.schema import conformance, create_database, create_table, differences, require, struct
 from starloom.spec import Spec
 
 _POINTER = "_current"
 
 
+class SchemaDrift(ValueError):
+    """A table whose files are not what its spec declares: nothing is loaded into it."""
+
+
+def session(name: str = "starloom", **conf: object) -> SparkSession:
+    """The one place that makes sessions: UTC, adaptive plans, and what the caller sets; the rest is the cluster's."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")
+    for key, value in conf.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -66,13 +80,39 @@ class Store:
         over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
         hadoop.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(made), fs.makeQualified(path), over)
 
-    def replace_batch(self, df: DataFrame, spec: Spec) -> None:
-        """Put the batches that ``df`` holds in place of what was there; others stay. Landing one twice changes nothing."""
-        require(df, spec).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id").parquet(f"{self._at(spec)}/v=0")
+    def drift(self, spec: Spec) -> list[str]:
+        """How the files of the current version depart from the spec; partition columns come from folders, as text."""
+        n = self.version(spec)
+        if n is None:
+            return []
+        stored = self.spark.read.parquet(f"{self._at(spec)}/v={n}").schema
+        return differences(T.StructType([T.StructField(f.name, T.StringType() if f.name == "_batch_id" else f.dataType) for f in stored]), spec)
+
+    def ensure(self, spec: Spec) -> Store:
+        """The store, if the table does not exist or is as declared; else SchemaDrift."""
+        if found := self.drift(spec):
+            raise SchemaDrift(f"{spec.table}: {'; '.join(found)}")
+        return self
+
+    def replace_batch(self, df: DataFrame, spec: Spec, batch_id: str) -> None:
+        """Put ``df`` in place of one batch, also where it is empty; others stay. Landing one twice changes nothing.
+
+        Refused where the table has drifted from its spec. The rows are written beside the table first, then
+        the batch's folder is exchanged by a rename.
+        """
+        folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch_id)
+        made, at = f"{self._at(spec)}/_landing/{folder}", f"{self.ensure(spec)._at(spec)}/v=0/_batch_id={folder}"
+        require(df, spec).where(F.col("_batch_id") == batch_id).drop("_batch_id").write.mode("overwrite").parquet(made)
+        fs, target = self._fs(at)
+        fs.mkdirs(target.getParent())
+        fs.delete(target, True)
+        fs.rename(self._fs(made)[1], target)
         if self.version(spec) is None:
             self._point(spec, 0)
 
     def append(self, df: DataFrame, spec: Spec) -> None:
+        """Add rows to the current version, which must be as declared."""
+        self.ensure(spec)
         require(df, spec).write.mode("append").parquet(f"{self._at(spec)}/v={self.version(spec) or 0}")
         if self.version(spec) is None:
             self._point(spec, 0)
@@ -89,6 +129,15 @@ class Store:
         fs, path = self._fs(self._at(spec))
         fs.delete(path, True)
 
+    def ensure_table(self, spec: Spec) -> str:
+        """The name of the catalog table, created from the spec where it is missing; SchemaDrift if it departs from it."""
+        self.spark.sql(create_database(spec.layer))
+        if not self.spark.catalog.tableExists(spec.table):
+            return self.register(spec)
+        if found := conformance(self.spark, spec):
+            raise SchemaDrift(f"{spec.table}: {'; '.join(found)}")
+        return spec.table
+
     def register(self, spec: Spec) -> str:
         """Create the catalog table over the current version, from the spec's DDL, and return its name."""
         self.spark.sql(create_database(spec.layer))

@@ -26,7 +26,7 @@ def land_and_rebuild(store: Store, bronze: Spec, silver: Spec) -> Callable[[Data
 
     def handle(rows: DataFrame, number: int) -> None:
         landed = rows.withColumns({"_ingest_ts": F.lit(None).cast("timestamp"), "_source_file": F.lit("stream"), "_batch_id": F.lit(f"{number:010d}"), "_rescued_data": F.lit(None).cast("string")})
-        store.replace_batch(landed, bronze)
+        store.replace_batch(landed, bronze, f"{number:010d}")
         every = store.read(bronze).select(*[F.col(a.name).try_cast(a.data_type).alias(a.name) for a in silver.attributes])
         store.publish(timeline(every, list(silver.business_key), silver.sequence_by, silver.tracked), silver)
 

@@ -10,7 +10,8 @@ from starloom.operators import history as H
 from starloom.plans.bank import QUESTIONS, Pipeline
 from starloom.sources.extracts import MissingColumns, read_extract
 from starloom.sources.generator import BATCHES, Bank
-from starloom.sources.store import Store
+from starloom.schema import stated_grain, struct
+from starloom.sources.store import SchemaDrift, Store
 from starloom.operators.clean import coerce
 from starloom.streaming.batches import each_batch, land_and_rebuild
 
@@ -34,7 +35,9 @@ def built(spark, raw, tmp_path_factory):
     inferred = []
     for batch in BATCHES:
         t = p.advance(raw, batch)
-        inferred.append(t["gold_dim_account"].where("is_inferred").count())
+        new = t["gold_dim_account"].where("is_inferred").select("product_type", "status", "party_id").collect()
+        assert {tuple(r) for r in new} <= {("UNKNOWN", "UNKNOWN", None)}
+        inferred.append(len(new))
     return p, t, inferred
 
 
@@ -102,7 +105,7 @@ def test_any_order_of_landing_converges(spark, raw, built, tmp_path, order):
     spec, bronze = p.specs["silver_party"], p.specs["bronze_party"]
     other = Pipeline(Store(spark, str(tmp_path)))
     for i in order:
-        other.store.replace_batch(read_extract(spark, bronze, f"{raw}/{BATCHES[i]}/party.csv", BATCHES[i]), bronze)
+        other.store.replace_batch(read_extract(spark, bronze, f"{raw}/{BATCHES[i]}/party.csv", BATCHES[i]), bronze, BATCHES[i])
         landed = coerce(other.store.read(bronze), spec, "_batch_id")
         other.store.publish(H.advance(other.store.read(spec), landed, spec, BATCHES[i]), spec)
     assert content(other.store.read(spec)) == content(t["silver_party"]) == content(H.rebuild_all(landed, spec).select(*t["silver_party"].columns))
@@ -123,6 +126,81 @@ def test_questions(spark, built):
             spark.sql(f"DROP TABLE IF EXISTS {spec.table}")
 
 
+def test_landing_replaces_a_batch_also_by_nothing(spark, tmp_path):
+    store, spec = Store(spark, str(tmp_path)), Pipeline(Store(spark, str(tmp_path))).specs["bronze_account"]
+    rows = lambda n, b: spark.range(n).select(*[F.col("id").cast("string").alias(c) for c in spec.columns], F.lit("2026-01-01").cast("timestamp").alias("_ingest_ts"), F.lit("f").alias("_source_file"), F.lit(b).alias("_batch_id"), F.lit(None).cast("string").alias("_rescued_data"))
+    counts = lambda: dict(map(tuple, K.batch_totals(store.read(spec)).collect()))
+    store.replace_batch(rows(0, "b 1/2"), spec, "b 1/2")
+    assert store.read(spec).count() == 0
+    for n in (3, 2):
+        store.replace_batch(rows(n, "b 1/2"), spec, "b 1/2")
+        store.replace_batch(rows(4, "2026-01-15"), spec, "2026-01-15")
+    assert counts() == {"b 1/2": 2, "2026-01-15": 4}
+    store.replace_batch(rows(0, "b 1/2"), spec, "b 1/2")
+    assert counts() == {"2026-01-15": 4} and store.drift(spec) == []
+
+
+def test_drifted_tables_refuse_to_load(spark, raw, tmp_path):
+    p = Pipeline(Store(spark, str(tmp_path)))
+    spec = p.specs["bronze_party"]
+    p.land(raw, BATCHES[0])
+    old = p.store.read(spec)
+    old.withColumn("colour", F.lit("red")).drop("suburb").write.partitionBy("_batch_id").parquet(f"{tmp_path}/bronze/party/v=1")
+    p.store._point(spec, 1)
+    with pytest.raises(SchemaDrift, match="missing column suburb; undeclared column colour"):
+        p.land(raw, BATCHES[1])
+    with pytest.raises(SchemaDrift):
+        p.store.append(old, spec)
+
+
+def test_append_and_catalog(spark, tmp_path):
+    store, spec = Store(spark, str(tmp_path)), Pipeline(Store(spark, str(tmp_path))).specs["gold_dim_merchant_category"]
+    row = spark.createDataFrame([], struct(spec))
+    row = spark.range(1).select(*[F.lit("2026-01-01").cast(f.dataType).alias(f.name) for f in row.schema])
+    store.append(row, spec)
+    store.append(row, spec)
+    assert store.read(spec).count() == 2
+    assert store.ensure_table(spec) == store.ensure_table(spec) == "gold.dim_merchant_category"
+    assert spark.table(spec.table).count() == 2 and stated_grain(spark, spec) == spec.grain
+    spark.sql(f"ALTER TABLE {spec.table} SET TBLPROPERTIES ('starloom.sequence_by' = 'other')")
+    with pytest.raises(SchemaDrift, match="sequence_by"):
+        store.ensure_table(spec)
+    spark.sql(f"DROP TABLE {spec.table}")
+
+
+def test_verification_finds_faults(spark, built, tmp_path):
+    """Faults planted in copies of the gold tables are counted, each by its own check."""
+    from starloom.__main__ import verify
+
+    t = built[0].tables()
+    q = Pipeline(Store(spark, str(tmp_path)))
+    for name, spec in q.specs.items():
+        df = t[name]
+        if name == "gold_fact_daily_balance":
+            df = df.withColumns({"movement": F.when(F.col("txn_count") > 0, F.col("movement") + 1).otherwise(F.col("movement")).cast("decimal(18,2)")})
+        elif name == "gold_fact_account_lifecycle":
+            df = df.withColumn("last_txn_date_key", F.col("first_txn_date_key") - 1)
+        elif name == "gold_fact_transaction":
+            df = df.withColumns({"txn_ts": F.lit("2200-01-01").cast("timestamp"), "account_sk": F.lit(None).cast("string")}).where("txn_type <> 'OPENING'")
+        elif name == "silver_account":
+            df = df.limit(df.count() - 1)
+        if spec.layer == "bronze":
+            df.write.partitionBy("_batch_id").parquet(f"{tmp_path}/bronze/{spec.entity}/v=0")
+            q.store._point(spec, 0)
+        else:
+            q.store.publish(df, spec)
+    found = verify(q)
+    assert found["gold_fact_daily_balance"]["unreconciled"] > 0 and found["gold_fact_account_lifecycle"]["disordered"] > 0
+    assert found["gold_fact_transaction"]["outside"] > 0 and found["gold_fact_transaction"]["missing"] > 0 and found["gold_fact_transaction"]["lost"] > 0
+    assert found["silver_account"]["lost"] == 1
+
+
+def test_unknown_and_inferred_members(built):
+    _, t, _ = built
+    unknown = t["gold_dim_party"].where("is_placeholder").first()
+    assert {unknown[c] for c in ("party_id", "full_name", "address_line", "suburb", "state", "postcode", "risk_rating", "segment")} == {"UNKNOWN"}
+
+
 def test_micro_batches(spark, raw, built, tmp_path):
     p, t, _ = built
     bronze, silver = p.specs["bronze_party"], p.specs["silver_party"]
