@@ -147,8 +147,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     merge the tiles of a task, then a window those of all tasks.
 
     Rows with a null id, or a vector that is null, empty, zero or holds null or non-finite components,
-    take no part. Only vectors of equal length meet. Rows that repeat an id are separate candidates
-    and share their queries' answers. Other columns are not read; without rows or queries there are none.
+    take no part. Only vectors of equal length meet, of any length. Rows that repeat an id are one query and one
+    candidate with several vectors, of which the best pair counts, so no vec_id is listed twice. Other columns
+    are not read, whatever their names; without rows or queries there are none.
     """
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     kinds = "dim int, ids binary, vectors binary, codes binary, scales binary"
@@ -163,6 +164,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     tiles = dealt.join(blocks, F.col("to") == F.col("q_no")).drop("to", "q_dim")
     runs = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.withColumn("slot", F.pmod("no", F.lit(runs))).repartition("q_no", "slot").sortWithinPartitions("q_no")
-    found = tiles.drop("dim", "no", "slot").mapInArrow(_searched(k), "query_id long, vec_id long, score double")
+    # Where ids repeat, so many rows hold k different ids at least; each counts once, by its best row.
+    repeats = pick(vectors).where("id is not null").groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    found = tiles.drop("dim", "no", "slot").mapInArrow(_searched(k * repeats), "query_id long, vec_id long, score double")
+    if repeats > 1 or asked.select("id").distinct().count() < n:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -221,3 +221,21 @@ def test_nearest(spark, kind):
     expected |= {(1080, 1): (1140, 0.0), (1140, 1): (1080, 0.0)}
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == expected
     assert nearest(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Rows that share an id, equal or not, give one list, in which no vec_id stands twice."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 40, rng.normal(size=4).tolist(), "x") for i in range(90)]
+    rows += [rows[0], rows[0], rows[5], rows[5]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, Rank string").repartition(3)
+    got = nearest(df, df.where("vec_id % 20 = 0"), k=7).collect()
+    expected = {}
+    for q in (0, 20):
+        best = {}
+        for i, v, _ in rows:
+            if i != q:
+                best[i] = max([best.get(i, -np.inf), *[float((np.array(v) * np.array(w)).sum()) for j, w, _ in rows if j == q]])
+        for k, (i, x) in enumerate(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:7]):
+            expected[q, k + 1] = (i, x)
+    assert len(got) == 14 and {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == expected
