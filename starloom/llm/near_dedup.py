@@ -264,10 +264,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, percent: i
     links = _linked(stars, classes, tagged, length, percent)
     roots = components(links)
     more = _linked_apart(_clusters(met, roots), classes, tagged, length, percent)
+    rooted = classes.select(*same, "cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     if not more.isEmpty():
-        roots = components(links.union(more))
-    roots = roots.withColumnRenamed("node", "cls")
-    rooted = materialize(classes.select(*same, "cls", "doc_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).select(*same, "root", "doc_id"))
+        # What joins components has them as its nodes, so the links within them are not gone through again.
+        ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
+        joins = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        higher = components(joins.distinct())
+        rooted = rooted.join(higher.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").withColumn("root", F.coalesce("higher", "root"))
+    rooted = materialize(rooted.select(*same, "root", "doc_id"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
     owner = rooted.select(*[F.col(c).alias(f"c_{c}") for c in same], "root").join(ids, "root").drop("root")
     joined = signed.select("doc_id", "tag", *same).join(owner, [F.col(c) == F.col(f"c_{c}") for c in same], "left")
@@ -280,7 +284,11 @@ def _clusters(met: DataFrame, roots: DataFrame) -> DataFrame:
     placed = materialize(met.select("cls", "band").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "band", F.coalesce("root", "cls").alias("root")))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "low")
     apart = materialize(placed.join(mixed, "band").select("cls", "root", "low").distinct())
-    chains = components(apart.select(F.col("low").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+    # Each root holds on to the least it meets, and the others it meets to that one: the same chains by far fewer edges.
+    pairs = apart.select("low", "root").distinct()
+    least = pairs.groupBy("root").agg(F.min("low").alias("least"))
+    edges = pairs.join(least, "root").select(F.col("least").alias("a"), F.col("low").alias("b")).union(least.select("least", "root"))
+    chains = components(edges.distinct())
     return materialize(apart.select("cls", "root").distinct().join(chains.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"))
 
 
