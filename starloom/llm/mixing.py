@@ -63,9 +63,9 @@ def size_weight(size: Column) -> Column:
 
 
 def stratum(size: Column) -> Column:
-    """Four strata to an octave of sizes."""
+    """Four strata to an octave of sizes. Never null, so that joins by it need no filter that counts words again."""
     digits, power = _octave(size)
-    return F.when(size > 0, 4 * digits + F.floor((size - power) * 4 / power)).otherwise(0).cast("long")
+    return F.coalesce(F.when(size > 0, 4 * digits + F.floor((size - power) * 4 / power)).cast("long"), F.lit(0).cast("long"))
 
 
 def expected_copies(most: int) -> Column:
@@ -161,10 +161,12 @@ def _copies() -> Column:
     return (F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> list[Column]:
-    key, size = F.col(id_col), word_count(F.col(text_col))
-    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else size_weight(size)
-    return [key.alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"), stratum(size).alias("stratum"), _drawn(key).alias("drawn")]
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, *more: Column) -> DataFrame:
+    """id, source, size, weight, stratum and drawn of each row, and ``more``. Sizes are a column before others use them, so each text is counted once."""
+    key, given = F.col(id_col), [F.col(weight_col).cast("double").alias("weight")] if weight_col else []
+    counted = docs.select(key.alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *given, _drawn(key).alias("drawn"), *more)
+    weight = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)) if weight_col else size_weight(F.col("size"))
+    return counted.withColumns({"weight": weight, "stratum": stratum(F.col("size"))})
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -182,7 +184,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size share the answer at the end of the order. Negative or null weights count as 0. Other columns are not
     read, whatever their names; an empty table gives no rows.
     """
-    rows = materialize(docs.select(*_rows(docs, id_col, text_col, source_col, weight_col)))
+    rows = materialize(_rows(docs, id_col, text_col, source_col, weight_col))
     ranked = _ranked(rows, plan_mixture(rows, weights, most), most)
     return ranked.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
@@ -194,8 +196,8 @@ def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with the columns; an empty table stays empty.
     """
     (kept,) = fresh(docs, "mixed_row")
-    rows = materialize(docs.select(*_rows(docs, id_col, text_col, source_col, weight_col)))
+    rows = materialize(_rows(docs, id_col, text_col, source_col, weight_col))
     plan = plan_mixture(rows, weights, most)
-    wide = docs.select(*_rows(docs, id_col, text_col, source_col, weight_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(kept))
+    wide = _rows(docs, id_col, text_col, source_col, weight_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(kept))
     ranked = _ranked(wide, plan, most)
     return ranked.select(kept, F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select(f"{kept}.*")
