@@ -31,18 +31,21 @@ def versioned_dimension(versions: DataFrame, key: str, business_key: list[str],
     return real.unionByName(placeholder_member(real, key, now=now))
 
 
-def inferred_members(dim: DataFrame, facts: DataFrame, column: str, unknown: tuple[str, ...] = ()) -> DataFrame:
+def inferred_members(dim: DataFrame, facts: DataFrame, column: str, unknown: tuple[str, ...] | None = None) -> DataFrame:
     """Distinct fact keys that the dimension lacks, as rows of its columns marked is_inferred; nulls infer nothing.
 
-    Columns in ``unknown`` are UNKNOWN, so that reports group them; all others are null.
+    Columns in ``unknown``, by default all text attributes as in the placeholder, are UNKNOWN, so that reports
+    group them; all others are null.
     """
+    if unknown is None:
+        unknown = tuple(f.name for f in dim.schema if f.dataType.simpleString() == "string")
     keys = facts.select(column).where(F.col(column).isNotNull()).distinct()
     missing = keys.join(dim.select(column), column, "left_anti")
     fill = [F.lit(True) if f.name == "is_inferred" else F.lit(UNKNOWN) if f.name in unknown else F.lit(None) for f in dim.schema]
     return missing.select(*[(F.col(column) if f.name == column else v).cast(f.dataType).alias(f.name) for f, v in zip(dim.schema, fill, strict=True)])
 
 
-def keyed_dimension(rows: DataFrame, key: str, business_key: list[str], facts: DataFrame | None = None, unknown: tuple[str, ...] = ()) -> DataFrame:
+def keyed_dimension(rows: DataFrame, key: str, business_key: list[str], facts: DataFrame | None = None, unknown: tuple[str, ...] | None = None) -> DataFrame:
     """Current rows with a key of the business key, and inferred members for fact keys that have not arrived.
 
     An inferred member has the key that the real one will have, so facts need no change when it comes.

@@ -266,7 +266,7 @@ _DIM_PART = f"""SELECT {_SK.format('p_partkey')} AS part_sk, p_partkey, p_brand,
 
 def _dim_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrived = _t(spark, sf_dir, "part").where("p_size <= 40").select("p_partkey", "p_brand", "p_size")
-    return D.keyed_dimension(arrived, "part_sk", ["p_partkey"], _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")))
+    return D.keyed_dimension(arrived, "part_sk", ["p_partkey"], _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), unknown=())
 
 
 @_query(_DIM_PART)
